@@ -1,8 +1,13 @@
 """Queries of the screening engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from vettle.queries import folds, screening
+from vettle.queries.oracles import ORACLES  # noqa: F401
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES = screening.QUERIES | folds.QUERIES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked report."""
+    return screening.win_rank(spark, sf_dir)
