@@ -131,9 +131,11 @@ def blocks(rows: DataFrame, group: str, weight: Column, most: int) -> DataFrame:
     return met.withColumns({"block": low * F.col("parts") + high, "side": F.when(low == high, 2).otherwise((F.col("part") == high).cast("int"))}).drop("part", "other", "parts")
 
 
-def grouped(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], run, schema: str, parts: int | None = None) -> DataFrame:
     """`run(columns, starts)` over whole groups: partitions are dealt and sorted by the keys, batches are cut at groups.
 
+    With `parts`, the one key is a number under it and each number gets a partition of its own.
+
     Spares the cost of a Python call for each of many small groups; no more than one group and a batch are held.
     """
 
@@ -168,7 +170,8 @@ def grouped(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
             new[1:] |= c[1:] != c[:-1]
         yield from run(t, np.append(np.flatnonzero(new), t.num_rows))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partition, schema)
+    dealt = df.repartitionById(parts, F.col(keys[0])) if parts else df.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(partition, schema)
 
 
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:

@@ -32,7 +32,7 @@ from vettle.llm import words as W
 from vettle.llm.common import written
 from vettle.llm.near_dedup import grouped
 
-SLICE, SEGMENT = 6 << 20, 32_000_000
+SLICE, SEGMENT = 6 << 20, 8_000_000
 BITS, FILTER_BYTES, LEAST_PAIR, K = 12, 64 << 20, 2, 5.0
 END = np.uint64(0x5EED0FE0D0FE0D01)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -205,7 +205,7 @@ def merged(blobs: DataFrame, segments: int, filter_bytes: int, kind: str) -> Dat
             docs = part.filter(pa.array(kinds == 3)).select(names).combine_chunks()
             yield from docs.to_batches()
 
-    return written(grouped(blobs, ["segment"], run, f"segment int, kind int, slice long, a binary, b binary, c binary, ids array<{kind}>"), "segments")
+    return written(grouped(blobs, ["segment"], run, f"segment int, kind int, slice long, a binary, b binary, c binary, ids array<{kind}>", segments), "segments")
 
 
 def base_sums(answers: DataFrame, kind: str) -> DataFrame:
