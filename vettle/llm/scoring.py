@@ -10,7 +10,8 @@ entry and `FILTER_BYTES` in all at most, which bounds the broadcast; where they
 lowest count classes. The base score uses exact counts and doesn't depend on that.
 
 Scoring. An n-gram's count is found by probing with 1, 2, ... until one misses; a word's probability after another is
-(c(v, w) + K p(w)) / (c(v) + K) with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
+(c(v, w) + S p(w)) / (c(v) + S) with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), S the prior's
+strength.
 
 Words are known by a 64-bit hash (an error in V or a count is expected once in 10^9 distinct words).
 
@@ -33,7 +34,7 @@ from vettle.llm.common import written
 from vettle.llm.near_dedup import grouped
 
 SLICE, SEGMENT = 6 << 20, 8_000_000
-BITS, FILTER_BYTES, LEAST_PAIR, K = 12, 64 << 20, 2, 5.0
+BITS, FILTER_BYTES, LEAST_PAIR, STRENGTH = 12, 64 << 20, 2, 100.0
 END = np.uint64(0x5EED0FE0D0FE0D01)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -229,7 +230,7 @@ def base_sums(answers: DataFrame, kind: str) -> DataFrame:
     return grouped(answers.filter("kind in (1, 3)"), ["slice"], run, f"doc_id {kind}, h long, train boolean, words long, sums double, known long")
 
 
-def model_scores(docs: DataFrame, parts: list[np.ndarray], tokens: int, distinct: int, ends: int, kind: str) -> DataFrame:
+def model_scores(docs: DataFrame, parts: list[np.ndarray], tokens: int, distinct: int, ends: int, kind: str, strength: float) -> DataFrame:
     """(doc_id, h, score) by the broadcast filter. `docs`: doc_id, h, text."""
     shared = docs.sparkSession.sparkContext.broadcast(Filter(parts))
 
@@ -253,13 +254,13 @@ def model_scores(docs: DataFrame, parts: list[np.ndarray], tokens: int, distinct
             pairs, where = np.unique(pair(before, token), return_inverse=True)
             c2 = np.minimum(filter_.counts(pairs)[where], cb)
             p1 = (c + 0.1) / (tokens + 0.1 * (distinct + 1))
-            score = np.add.reduceat(np.log10((c2 + K * p1) / (cb + K)), place[:-1]) if len(n) else np.zeros(0)
+            score = np.add.reduceat(np.log10((c2 + strength * p1) / (cb + strength)), place[:-1]) if len(n) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(score)], names=["doc_id", "h", "score"])
 
     return docs.mapInArrow(run, f"doc_id {kind}, h long, score double")
 
 
-def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out: Column | None = None, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out: Column | None = None, filter_bytes: int = FILTER_BYTES, strength: float = STRENGTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from the rows that are not held out."""
     kind = docs.schema[key].dataType.simpleString()
     out = held_out if held_out is not None else F.coalesce(remainder(F.col(key)) == 0, F.lit(False))
@@ -277,7 +278,7 @@ def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out
     ends = int(base.filter("train").count())
     tokens, distinct = int(totals[0]) + ends, int(totals[1]) + (ends > 0)
     base = base.groupBy("doc_id", "h").agg(*(F.first(c).alias(c) for c in ("words", "sums", "known"))).select(F.col("doc_id").alias("i"), F.col("h").alias("g"), "words", "sums", "known")
-    scored = model_scores(rows.select("doc_id", "h", "text"), parts, tokens, distinct, ends, kind)
+    scored = model_scores(rows.select("doc_id", "h", "text"), parts, tokens, distinct, ends, kind, strength)
     met = scored.join(base, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
     n = F.col("words") + 1
     held = held_out if held_out is not None else F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False))
