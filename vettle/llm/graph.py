@@ -16,7 +16,7 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
     joins whose hot nodes adaptive execution splits; the table never grows. Rounds are about the logarithm of the size.
     """
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
-    while True:
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("least")).withColumn("least", F.least("n", "least"))
         # large star: (greater neighbour, least)

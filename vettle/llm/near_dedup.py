@@ -299,4 +299,4 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     linked = verified(texts.join(dealt, "id").select("cluster", "block", "side", "id", "text"), percent)
     comps = written(components(linked, "links"), "links")
     out = sigs.join(classes, same, "left").join(comps.withColumnRenamed("id", "c"), F.col("id") == F.col("c"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")).alias("component_id"))
