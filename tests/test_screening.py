@@ -127,7 +127,7 @@ def test_blocks(spark):
 def test_handle(spark):
     rows = [(1, "see github.com/Text and github.com/Text/repo", ["https://github.com/link/x"]), (2, "github.com/features github.com/b/x github.com/a", []), (3, "none", None)]
     got = {r.file_ord: r.github_username for r in parse.github_handle(spark.createDataFrame(rows, "file_ord long, text string, links array<string>")).collect()}
-    assert got == {1: "Text", 2: "a"}
+    assert got == {1: "link", 2: "a"}
 
 
 def greedy(rows):

@@ -12,7 +12,7 @@ from vettle.sources.tables import written
 
 def dedup_by_hash(docs: DataFrame, key: str = "file_ord", hash_: str = "h") -> DataFrame:
     """`docs` with the least key of its hash: a map-side combined minimum, met by a join that splits hot hashes."""
-    first = docs.groupBy(F.col(hash_).alias("_h")).agg(F.min(key).alias("first"))
+    first = written(docs.groupBy(F.col(hash_).alias("_h")).agg(F.min(key).alias("first")), "first-of-hash")
     return docs.join(first, F.col(hash_).eqNullSafe(F.col("_h"))).drop("_h")
 
 
