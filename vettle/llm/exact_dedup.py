@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vettle.llm.common import fresh
+from vettle.llm.common import fresh, written
 
 BITS = 32_768
 BROADCAST_BYTES = 32 << 20
@@ -78,6 +78,7 @@ def mark_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", bits_p
     groups = some.groupBy(F.col(name["sha"]).alias(name["key"])).agg(
         F.min(F.struct((-F.col(name["len"])).alias("len"), F.col(key).alias("id"))).alias(name["best"]), F.count("*").alias(name["group_size"])
     )
+    groups = written(groups, "copies")  # a plain side, so that adaptive execution can split a hot text's rows
     met = some.join(groups, F.col(name["sha"]) == F.col(name["key"])).select(
         *own,
         name["group_size"],
