@@ -88,7 +88,7 @@ def secret_scan(docs: DataFrame, text: str = "text", repository: str = "doc_id",
     """
     found = candidates(docs, text, repository, owner)
     some = found.filter("size(spans) > 0")
-    counts = ownership(some)
+    counts = written(ownership(some), "owners")  # a plain side, so that adaptive execution can split a hot value's rows
     rows = some.select("row", "doc_id", "owner", F.explode("spans").alias("s"))
     met = rows.withColumn("hash", F.col("s.hash")).join(counts, "hash")
     live = (F.col("n_owners") == 1) & (F.col("n_repositories") <= most_repositories)
