@@ -184,6 +184,7 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFram
     table = distinct_surrogates(seen.groupBy("kind", "norm").agg(F.lit(1).alias("one")).drop("one"), key)
     new = seen.join(table, ["kind", "norm"]).withColumn("new", rendered(F.col("kind"), F.col("value"), F.col("s")))
     new = new.groupBy(F.col("hash").alias(name["h"])).agg(F.array_sort(F.collect_list(F.struct("at", "new", "kind"))).alias(name["new"]))
+    new = written(new, "replacements")  # a plain side, so that adaptive execution can split a hot text's rows
     met = rows.join(new, F.col(name["hash"]) == F.col(name["h"])).withColumn(name["between"], F.split(F.col(text), PATTERN, -1))
     out = F.array_join(F.transform(name["between"], lambda p, i: F.concat(p, F.coalesce(F.get(F.col(name["new"]), i)["new"], F.lit("")))), "")
     met = met.withColumns({text: out, name["n_entities"]: F.size(name["new"]).cast("long"), name["kinds"]: F.array_join(F.array_sort(F.array_distinct(F.col(name["new"])["kind"])), ",")})
