@@ -77,6 +77,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     found = written(rows.mapInArrow(runs, f"doc_id {kind}, h long, place int, run long"), "runs")
     where = F.struct("doc_id", "h", "place")
     repeated = found.groupBy("run").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first <> last").select("run", "first")
+    repeated = written(repeated, "repeated-runs")  # a plain side, so that adaptive execution can split a hot run's rows
     later = found.join(repeated, "run").filter(where != F.col("first"))
     gone = later.groupBy(F.col("doc_id").alias(name["i"]), F.col("h").alias(name["h"])).agg(F.array_sort(F.collect_set("place")).alias(name["removed"]))
     met = docs.withColumn(name["hash"], F.xxhash64(text)).join(gone, F.col(key).eqNullSafe(F.col(name["i"])) & (F.col(name["hash"]) == F.col(name["h"])), "left").drop(name["i"], name["h"], name["hash"])
