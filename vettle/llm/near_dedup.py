@@ -125,6 +125,7 @@ def blocks(rows: DataFrame, group: str, weight: Column, most: int) -> DataFrame:
     A group's blocks are as many as its summed weight needs; those of most groups are one.
     """
     sizes = rows.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"), F.sum(weight).alias("w")).filter("n > 1").select("g", F.ceil(F.col("w") / most).cast("int").alias("parts"))
+    sizes = written(sizes, "group-sizes")  # a plain side, so that adaptive execution can split a hot group's rows
     met = rows.join(sizes, F.col(group) == F.col("g")).drop("g").withColumn("part", F.pmod(F.xxhash64("id", F.lit("block")), "parts").cast("int"))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
