@@ -35,11 +35,16 @@ def claims(sections: DataFrame) -> DataFrame:
 
 
 def skill_hits(scanned: DataFrame, claimed: DataFrame) -> DataFrame:
-    """(file_ord, name, tier, blocks, in_claims)."""
+    """(file_ord, name, tier, blocks, in_claims).
+
+    The union is dealt anew: Spark 4.1 takes over the partitioning of its sides, which adaptive execution may coalesce
+    differently, and would then group a document's hits apart.
+    """
     in_blocks = scanned.select("file_ord", F.explode("found").alias("f"), F.col("block_idx").alias("block"))
     in_claims = claimed.select("file_ord", F.explode(matches(clean(F.col("claims")))).alias("f"), F.lit(None).cast("int").alias("block"))
     return (
         in_blocks.unionByName(in_claims)
+        .repartition("file_ord")
         .groupBy("file_ord", F.col("f.name").alias("name"), F.col("f.tier").alias("tier"))
         .agg(F.array_sort(F.collect_set("block")).alias("blocks"), F.bool_or(F.col("block").isNull()).alias("in_claims"))
     )

@@ -369,6 +369,10 @@ ORACLES: dict[str, str] = {
     "gen_sections": chain("select * from sections"),
     "gen_blocks": chain("select file_ord, block_idx, section, title, n_bullets, text from blocks"),
     "gen_lexicon_scan": chain("select file_ord, block_idx, name, tier from found"),
+    "flt_tier": chain("select file_ord, name, built from h where tier in ('strong', 'llm') and (built or only_)"),
+    "clean_title": chain(f"select file_ord, block_idx, coalesce(nullif({trimmed(_TITLE.replace('b_title', 'title'), 80)}, ''), 'Project') as title from blocks"),
+    "win_top3_blocks": chain("select file_ord, round(depth, 5) as depth from depths"),
+    "scan_github_ttl": f"select o_orderkey from orders where o_orderdate > timestamp '{X.NOW}' - interval 8760 hours",
     "agg_hits": chain("select file_ord, name, tier, coalesce(array_to_string(blocks, ','), '') as blocks, in_claims from hits"),
     "gate": chain("select file_ord, python_level, ai_level, len(reasons) = 0 as eligible, array_to_string(terms, ',') as ai_terms, array_to_string(matched, ',') as matched_skills, array_to_string(reasons, ',') as reasons from gate"),
     "tfidf_df": chain("select * from df"),

@@ -107,6 +107,27 @@ def _hits(spark, sf_dir):
     return p, scan.skill_hits(scanned, scan.claims(p.sections))
 
 
+def flt_tier(spark, sf_dir):
+    hits = _hits(spark, sf_dir)[1]
+    built, claimed = (scan.by_tier(hits, "strong", "llm", in_blocks=x).withColumn("built", F.lit(x)) for x in (True, False))
+    return built.unionByName(claimed).select("file_ord", "name", "built")
+
+
+def clean_title(spark, sf_dir):
+    b = plan.parsed(resumes(spark, sf_dir)).blocks
+    return b.select("file_ord", F.col("block_idx").cast("long").alias("block_idx"), T.clean_title(F.col("title")).alias("title"))
+
+
+def win_top3_blocks(spark, sf_dir):
+    _, scanned, sims, _ = _sims(spark, sf_dir)
+    return score.best_of(score.score_blocks(scanned, sims, SETTINGS)).select("file_ord", F.round("depth", 5).alias("depth"))
+
+
+def scan_github_ttl(spark, sf_dir):
+    cache = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    return enrich.valid_cache(cache, F.to_timestamp(F.lit(X.NOW)), 8760.0).select("o_orderkey")
+
+
 def agg_hits(spark, sf_dir):
     return _hits(spark, sf_dir)[1].select("file_ord", "name", "tier", F.array_join(F.col("blocks").cast("array<string>"), ",").alias("blocks"), "in_claims")
 
@@ -242,7 +263,7 @@ QUERIES = {
 } | {
     f.__name__: f
     for f in (
-        ext_email, ext_name, ext_github, hash_fingerprint, flt_min_chars, trim_ellipsis, json_extract, dedup_hash, dedup_first_wins, gen_sections, gen_blocks, gen_lexicon_scan, agg_hits, gate,
+        ext_email, ext_name, ext_github, hash_fingerprint, flt_min_chars, trim_ellipsis, json_extract, dedup_hash, dedup_first_wins, gen_sections, gen_blocks, gen_lexicon_scan, flt_tier, clean_title, win_top3_blocks, scan_github_ttl, agg_hits, gate,
         tfidf_df, tfidf_weight, tfidf_distinctive, tfidf_cosine, tfidf_jd, score_block, win_best_bullets, score_categories, pen_all, explain, agg_github, join_github_left, verify_evidence, win_rank,
         report_rows, limit_top, agg_summary, bloom_membership,
     )
