@@ -38,7 +38,7 @@ SYLLABLES = {
 TITLES = "|".join((*MALE, *FEMALE, "Dr", "Prof"))
 #: In this order; the first that matches at a place wins.
 ENTITIES = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -81,8 +81,7 @@ def luhn_fixed(digits: Column) -> Column:
 def kind_of(value: Column) -> Column:
     out = F.lit("name")
     for k, p in list(ENTITIES.items())[:-1][::-1]:
-        bare = p.replace(r"(?<![0-9.])", "").replace(r"(?<![0-9-])", "").replace(r"(?<![0-9A-Za-z])", "").replace(r"(?![0-9A-Za-z])", "").replace(r"(?![0-9-])", "").replace(r"(?![0-9]|\.[0-9])", "")
-        out = F.when(value.rlike(rf"^(?:{bare})$"), F.lit(k)).otherwise(out)
+        out = F.when(value.rlike(rf"^(?:{p})$"), F.lit(k)).otherwise(out)
     return out
 
 
