@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vettle.functions import text as T
 from vettle.operators import dedup, enrich, parse, rank, scan, score, tfidf
 from vettle.settings import Settings
-from vettle.sources.tables import written
+from vettle.sources.tables import plain_unions, written
 
 NO_HEADINGS = "No section headings recognised; using whole text as a single block"
 
@@ -29,6 +29,7 @@ class Parsed:
 
 def parsed(docs: DataFrame, unicode_names: bool = True) -> Parsed:
     """Structure of `docs` (file_ord, file, text, links), dealt by file_ord once."""
+    plain_unions(docs.sparkSession)
     docs = docs.repartition("file_ord")
     lines = parse.lines(docs)
     return Parsed(docs, lines, parse.sections(lines), parse.blocks(lines))

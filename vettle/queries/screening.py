@@ -11,6 +11,7 @@ from vettle.plans import screen as plan
 from vettle.queries import fixtures as X
 from vettle.settings import Settings
 from vettle.sources import sinks
+from vettle.sources.tables import plain_unions
 
 #: The queries' stop words, stated so that their SQL can use them too.
 STOP = ("a", "about", "an", "and", "at", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "to", "with")
@@ -18,7 +19,7 @@ SETTINGS = Settings(stop_words=STOP)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return plain_unions(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str, source: str) -> DataFrame:

@@ -33,8 +33,15 @@ def _clear(spark: SparkSession, path: str) -> None:
         pass
 
 
+def plain_unions(spark: SparkSession) -> SparkSession:
+    """Keeps unions from taking over their sides' partitioning: with reused exchanges, Spark 4.1.2 then groups wrongly."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """`df` written and read again: its lineage is cut, and it outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    plain_unions(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
