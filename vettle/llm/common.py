@@ -41,9 +41,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def plain_unions(spark: SparkSession) -> SparkSession:
+    """Keeps unions from taking over their sides' partitioning: with reused exchanges, Spark 4.1.2 then groups wrongly."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """`df` as a table in the shared folder, which cuts its lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    plain_unions(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -63,7 +70,7 @@ def text_or_empty(text: str = "text") -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return plain_unions(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def fresh(df: DataFrame, *names: str) -> dict[str, str]:
