@@ -13,12 +13,12 @@ _DIRS: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application under spark.checkpoint.dir; a temporary one where that is unset in local mode."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _DIRS.setdefault("base", tempfile.mkdtemp(prefix="vettle-"))
-    path = f"{base.rstrip('/')}/vettle-engine-{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/vettle-{spark.sparkContext.applicationId}"
     if path not in _DIRS:
         _DIRS[path] = path
         atexit.register(_clear, spark, path)
