@@ -2,58 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vettle.sources.tables import plain_unions, written  # noqa: F401  the operators take it from here
+
 #: ASCII white space and what stands between it.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows that a side may have to be broadcast by `sized_join`.
 BROADCAST_ROWS = 20_000
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="vettle-"))
-    path = f"{base.rstrip('/')}/vettle-{app}"
-    if path not in _LOCAL:
-        _LOCAL[path] = path
-        atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # noqa: BLE001  the session is gone, its folder is the cluster's to clear
-        pass
-
-
-def plain_unions(spark: SparkSession) -> SparkSession:
-    """Keeps unions from taking over their sides' partitioning: with reused exchanges, Spark 4.1.2 then groups wrongly."""
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-    return spark
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """`df` as a table in the shared folder, which cuts its lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    plain_unions(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def sized_join(big: DataFrame, small: DataFrame, on: Column, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """`big` joined with `small`, which is broadcast only where a count shows `most` narrow rows at most.
