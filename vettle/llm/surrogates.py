@@ -46,7 +46,11 @@ ENTITIES = {
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9A-Za-z])",
     "name": rf"(?<=\b(?:{TITLES})\.? )\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
 }
-PATTERN = "|".join(f"(?:{p})" for p in ENTITIES.values())
+#: What an entity of each type can begin with, looked at first: most places of a text begin none.
+OPENS = {"email": "[A-Za-z0-9]", "iban": "[A-Z]", "name": r"\p{Lu}"}
+PATTERN = "|".join(f"(?={OPENS.get(k, '[0-9+(]')})(?:{p})" for k, p in ENTITIES.items())
+#: A text without these has no entity.
+HINT = rf"[0-9@]|(?=[A-ZГ])(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}"
 
 
 def _hex(key: str, *parts: Column) -> Column:
@@ -172,7 +176,7 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
 def replace_pii(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """`docs` with its text replaced, and n_entities and kinds (the sorted types) under names that clash with nothing."""
     name = fresh(docs, "found", "between", "n_entities", "kinds", "hash", "h", "new")
-    has = F.coalesce(F.col(text).rlike(PATTERN), F.lit(False))
+    has = F.coalesce(F.col(text).rlike(HINT) & F.col(text).rlike(PATTERN), F.lit(False))
     plain = docs.filter(~has).withColumns({name["n_entities"]: F.lit(0).cast("long"), name["kinds"]: F.lit("")})
     rows = docs.filter(has).withColumn(name["hash"], F.sha2(text, 256))
     narrow = mentions(rows.select(F.col(name["hash"]).alias("hash"), text_or_empty(text).alias("body")), "body", "found", "between")
