@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from vettle import lexicon as L
 from vettle.operators import score as S
 from vettle.queries import fixtures as X
@@ -266,7 +268,14 @@ def chain(select: str, kept: bool = False) -> str:
     if kept:
         ctes = {"all_resumes": ctes.pop("resumes"), "keyed": CTES["keyed"].replace("from resumes", "from all_resumes"), **{k: CTES[k] for k in ("greedy(i, seen, kept)", "holders", "verdicts")},
                 "resumes": "select r.* from all_resumes r join verdicts v using (file_ord) where v.kept", **{k: v for k, v in ctes.items() if k not in ("keyed", "greedy(i, seen, kept)", "holders", "verdicts")}}
-    return "with recursive " + ",\n".join(f"{k} as ({v})" for k, v in ctes.items()) + "\n" + select
+    needed, todo = set(), [select]
+    while todo:
+        text = todo.pop()
+        new = [k for k in ctes if k not in needed and re.search(rf"\b{k.split('(')[0]}\b", text)]
+        needed.update(new)
+        todo += [ctes[k] for k in new]
+    said = (f"{k} as ({v})" for k, v in ctes.items() if k in needed)
+    return "with recursive " + ",\n".join(said) + "\n" + select
 
 
 FINAL = f"""
