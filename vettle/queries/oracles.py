@@ -250,14 +250,17 @@ CTES["github"] = """
   select file_ord, github_username, status as github_status, case when status = 'ok' then least(10, coalesce(activity, 0) + coalesce(repo, 0)) else 0 end::double as github, case when status = 'ok' then coalesce(maintained, 0) else 0 end::bigint as maintained_repos,
     case status when 'ok' then coalesce('Last push ' || last_push || '; ' || maintained || ' maintained repos (' || relevant || ' Python/AI-relevant)', 'No original public repositories') when 'no_profile' then 'No GitHub profile found in resume'
       when 'not_found' then 'GitHub user not found / private' when 'rate_limited' then 'GitHub API rate-limited' else 'GitHub enrichment failed' end as github_summary from enriched"""
-CTES["keyed"] = f"select file_ord, sha256({alnum('text')}) as h, {email('text')} as e, row_number() over (order by file_ord) as i from resumes"
+CTES["keyed"] = f"select file_ord, sha256({alnum('text')}) as h, {email('text')} as e from resumes"
+# only documents that share a key with another one are decided one after another
+CTES["counted"] = "select *, count(*) over (partition by h) > 1 or (e is not null and count(*) over (partition by e) > 1) as contested from keyed"
+CTES["contest"] = "select *, row_number() over (order by file_ord) as i from counted where contested"
 CTES["greedy(i, seen, kept)"] = """
   select 0::bigint, map{''::varchar: 0::bigint}, true
   union all
   select k.i, case when map_contains(seen, 'h' || h) or (e is not null and map_contains(seen, 'e' || e)) then seen else map_concat(seen, map{'h' || h: file_ord}, case when e is null then map{} else map{'e' || e: file_ord} end) end,
     not (map_contains(seen, 'h' || h) or (e is not null and map_contains(seen, 'e' || e)))
-  from greedy g join keyed k on k.i = g.i + 1"""
-CTES["holders"] = "select k.*, g.kept from greedy g join keyed k using (i)"
+  from greedy g join contest k on k.i = g.i + 1"""
+CTES["holders"] = "select file_ord, h, e, g.kept from greedy g join contest k using (i) union all select file_ord, h, e, true from counted where not contested"
 CTES["verdicts"] = """
   select k.file_ord, k.kept, case when not k.kept then case when a.file_ord < k.file_ord then a.file_ord when b.file_ord < k.file_ord then b.file_ord end end as duplicate_of
   from holders k left join holders a on a.kept and a.h = k.h left join holders b on b.kept and b.e = k.e"""
@@ -266,8 +269,8 @@ CTES["verdicts"] = """
 def chain(select: str, kept: bool = False) -> str:
     ctes = dict(CTES)
     if kept:
-        ctes = {"all_resumes": ctes.pop("resumes"), "keyed": CTES["keyed"].replace("from resumes", "from all_resumes"), **{k: CTES[k] for k in ("greedy(i, seen, kept)", "holders", "verdicts")},
-                "resumes": "select r.* from all_resumes r join verdicts v using (file_ord) where v.kept", **{k: v for k, v in ctes.items() if k not in ("keyed", "greedy(i, seen, kept)", "holders", "verdicts")}}
+        ctes = {"all_resumes": ctes.pop("resumes"), "keyed": CTES["keyed"].replace("from resumes", "from all_resumes"), **{k: CTES[k] for k in ("counted", "contest", "greedy(i, seen, kept)", "holders", "verdicts")},
+                "resumes": "select r.* from all_resumes r join verdicts v using (file_ord) where v.kept", **{k: v for k, v in ctes.items() if k not in ("keyed", "counted", "contest", "greedy(i, seen, kept)", "holders", "verdicts")}}
     needed, todo = set(), [select]
     while todo:
         text = todo.pop()
