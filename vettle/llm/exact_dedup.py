@@ -89,7 +89,10 @@ def mark_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", bits_p
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that stay, one for each distinct normalised text, with the columns of `docs`."""
+    """The rows of `docs` that stay, one for each distinct normalised text, with the columns of `docs`.
+
+    Rows that repeat text and doc_id are one document: any one of them stays.
+    """
     marked, name = mark_copies(docs, text, key)
     kept = marked.filter(name["kept"])
     single = kept.filter(F.col(name["group_size"]) == 1)
