@@ -162,6 +162,43 @@ def test_filter_counts():
     assert (f.counts(rng.integers(0, 2**63, 5000, dtype=np.uint64)) == 0).mean() > 0.93
 
 
+def test_filter_grows():
+    """By default nothing bounds the filter: a segment enters all its pairs, however many."""
+    import inspect
+
+    from vettle.llm import scoring
+
+    assert inspect.signature(scoring.lm_scores).parameters["filter_bytes"].default is None
+
+    h = np.random.default_rng(2).integers(0, 2**63, 200_000, dtype=np.uint64)
+    bits = scoring.build(h, np.full(len(h), 2), np.full(len(h), scoring.LEAST_PAIR))
+    assert len(bits) * 64 >= 2 * len(h) * scoring.BITS and (scoring.Filter([bits]).counts(h) > 0).all()
+
+
+@pytest.mark.parametrize("which", ["small", "odd"])
+def test_op4_scores(spark, odd_dir, odd_rows, which, monkeypatch):
+    """Scores by exact counts of all words and pairs, whatever the segments; a filter's false hits are few."""
+    from vettle.llm import scoring
+
+    monkeypatch.setattr(scoring, "SEGMENT", 10_000)
+    docs, folder = (small(spark), SMALL) if which == "small" else (documents(odd_rows), odd_dir)
+    tokens = [(i, [None, *WORD.findall(lower(t or "")), None]) for i, t in docs]
+    train = [t for i, t in tokens if zlib.crc32(str(i).encode()) % 10]
+    c, c2 = Counter(x for t in train for x in t[1:]), Counter(x for t in train for x in zip(t, t[1:]))
+    n, v = sum(c.values()), len(c)
+    mean = lambda x: float(scoring.MEANS[scoring.classes(np.array([x]))[0]])
+    one = lambda x: float(c[None]) if x is None else mean(c[x])
+
+    def score(a, b):
+        both = min(mean(c2[a, b]) if c2[a, b] >= scoring.LEAST_PAIR else 0.0, one(a))
+        return math.log10((both + 100 * (one(b) + 0.1) / (n + 0.1 * (v + 1))) / (one(a) + 100))
+
+    want = sorted((i, sum(score(a, b) for a, b in zip(t, t[1:]))) for i, t in tokens)
+    got = sorted((r.doc_id, r.score) for r in QUERIES["op4_lm_scores"](spark, folder).collect())
+    for g, w in zip(got, want, strict=True):
+        assert g[0] == w[0] and g[1] == pytest.approx(w[1], rel=0.03, abs=1)
+
+
 @pytest.mark.parametrize("which", ["small", "odd"])
 def test_op5_round_trip(spark, odd_dir, odd_rows, which):
     from tokenizers import Tokenizer

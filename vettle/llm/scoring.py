@@ -1,22 +1,21 @@
 """LM scoring with a log-frequency Bloom filter.
 
-Counting. Each slice of texts sends its distinct words and word pairs, packed by hash segment, to the segment's task,
-which sums the counts over the corpus. For words it also gets which texts of the slice hold them, and answers each slice
-with its texts' exact sums; no text is shuffled and no vocabulary is gathered anywhere.
+Counting. Texts are cut into slices, written as compressed word numbers. Each slice sends its distinct words and word
+pairs, packed by hash segment, to the segment's task, which sums the counts over the corpus and answers each slice with
+its words' exact counts; no vocabulary is gathered anywhere.
 
 Filter. A segment enters its words, and the pairs seen `LEAST_PAIR` times or more, into its part of a Bloom filter: an
 n-gram whose count has quantised logarithm q (base 2, from 1) is entered with each of 1..q. Parts have `BITS` bits an
-entry and `FILTER_BYTES` in all at most, which bounds the broadcast; where they don't suffice, a segment leaves out its
-lowest count classes. The base score uses exact counts and doesn't depend on that.
+entry, so the filter grows with the corpus; each part lives in its segment's task only and nothing is broadcast.
 
-Scoring. An n-gram's count is found by probing with 1, 2, ... until one misses; a word's probability after another is
-(c(v, w) + S p(w)) / (c(v) + S) with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), S the prior's
-strength.
+Scoring. A segment probes its part for each n-gram of a slice with 1, 2, ... until one misses, and answers with a byte,
+the quantised logarithm found. A slice meets its answers in one task, which scores its texts. A word's probability after another is (c(v, w) + S p(w)) / (c(v) + S) with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), S the
+prior's strength.
 
 Words are known by a 64-bit hash (an error in V or a count is expected once in 10^9 distinct words).
 
 Defined cases: null text is empty and is the end token alone; rows without doc_id are not learned from and not held
-out; rows that repeat doc_id and text are scored alike; without training text all counts are 0 and every score is 0;
+out; rows that repeat are rows of their own, scored alike; without training text all counts are 0 and every score is 0;
 an empty table gives an empty result.
 """
 
@@ -34,7 +33,7 @@ from vettle.llm.common import written
 from vettle.llm.near_dedup import grouped
 
 SLICE, SEGMENT = 6 << 20, 8_000_000
-BITS, FILTER_BYTES, LEAST_PAIR, STRENGTH = 12, 64 << 20, 2, 100.0
+BITS, LEAST_PAIR, STRENGTH = 12, 2, 100.0
 END = np.uint64(0x5EED0FE0D0FE0D01)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,7 +43,8 @@ def remainder(doc_id: Column) -> Column:
 
 
 def segment(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+    """Ranges of the hash, so that sorted hashes are sorted by segment."""
+    return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
 def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -68,11 +68,11 @@ def _word_and_mask(h: np.ndarray, j: np.ndarray | int, words: np.ndarray) -> tup
     return ((g >> np.uint64(32)) % words).astype(np.int64), mask
 
 
-def build(h: np.ndarray, count: np.ndarray, least: np.ndarray, most_bytes: int) -> np.ndarray:
-    """A segment's part of the filter."""
+def build(h: np.ndarray, count: np.ndarray, least: np.ndarray, most_bytes: int | None = None) -> np.ndarray:
+    """A segment's part of the filter; with `most_bytes`, one too large leaves out its lowest count classes."""
     q = np.where(count >= least, classes(count), 0)
     low = 1
-    while q.sum() * BITS > most_bytes * 8 and low <= q.max(initial=0):
+    while most_bytes is not None and q.sum() * BITS > most_bytes * 8 and low <= q.max(initial=0):
         q = np.where(q <= low, 0, q)
         low += 1
     n = max(1, int(-(-q.sum() * BITS // 64)))
@@ -85,14 +85,14 @@ def build(h: np.ndarray, count: np.ndarray, least: np.ndarray, most_bytes: int)
 
 
 class Filter:
-    """The parts side by side. `counts` finds what n-grams' counts stand for, by repeated probes."""
+    """The parts side by side. `found` has the quantised logarithms of n-grams' counts, by repeated probes."""
 
     def __init__(self, parts: list[np.ndarray]):
         self.bits = np.concatenate(parts)
         self.size = np.array([len(p) for p in parts], dtype=np.uint64)
         self.begin = np.concatenate([[0], np.cumsum(self.size.astype(np.int64))])[:-1]
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
+    def found(self, h: np.ndarray) -> np.ndarray:
         q, live, j = np.zeros(len(h), dtype=np.int64), np.arange(len(h)), 1
         seg = segment(h, len(self.size))
         while len(live) and j < len(MEANS):
@@ -101,190 +101,184 @@ class Filter:
             live = live[(self.bits[self.begin[s] + at] & mask) == mask]
             q[live] = j
             j += 1
-        return MEANS[q]
+        return q
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return MEANS[self.found(h)]
+
+
+def ngrams(word_hash: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs of each text with its end tokens: one more than the text has words, text after text."""
+    place = offsets + np.arange(len(offsets))
+    token = np.full(place[-1], END, dtype=np.uint64)
+    is_word = np.ones(place[-1], dtype=bool)
+    is_word[place[1:] - 1] = False
+    token[is_word] = word_hash
+    before = np.roll(token, 1)
+    before[place[:-1]] = END
+    return pair(before, token)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Unsigned numbers byte by byte, compressed where they are many."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    many = len(x) >= 512
+    return len(x).to_bytes(4, "little") + bytes([many]) + (pa.compress(planes, codec="zstd", asbytes=True) if many else planes)
+
 
+def _unpack(raw: bytes, type_: str) -> np.ndarray:
+    n, width = int.from_bytes(raw[:4], "little"), np.dtype(type_).itemsize
+    planes = pa.decompress(raw[5:], n * width, codec="zstd", asbytes=True) if raw[4] else raw[5:]
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(width, n).T).view(type_).ravel()
 
-def _blobs(seg: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    """Columns sorted by segment, cut into the segments that have something."""
-    cuts = np.searchsorted(seg, np.arange(n + 1))
-    for s in np.flatnonzero(np.diff(cuts)):
-        yield int(s), [c[cuts[s] : cuts[s + 1]].tobytes() for c in columns]
 
+#: Rows of slices and of answers: ids are null but in kind 3.
+SCHEMA = "slice long, segment int, kind int, a binary, b binary, c binary, d binary, ids array<{}>"
+NAMES = ["slice", "segment", "kind", "a", "b", "c", "d", "ids"]
 
-def packed(docs: DataFrame, segments: int, kind: str) -> DataFrame:
-    """(segment, kind, slice, a, b, c, d, ids): kind 1 words, 2 pairs, 3 a slice's texts. `docs`: doc_id, h, text, train."""
+
+def _batch(rows: list[tuple], *ids: pa.Array) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([*(pa.array(list(x), t) for x, t in zip(zip(*rows), types)), *ids], names=NAMES[: 7 + len(ids)])
+
+
+def sliced(docs: DataFrame, kind: str) -> DataFrame:
+    """Slices of texts, written: kind 3 (a: words of each text, b: 1 where it's learned from, 2 where held out, c: the words' numbers, d: the hash of each number). `docs`: doc_id, text, train, out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_type = None
         nth = TaskContext.get().partitionId() << 32
         for b in W.slices(batches, most=SLICE):
-            for lo in range(0, b.num_rows, 60_000):
-                part = b.slice(lo, 60_000)
-                ids_type = ids_type or pa.list_(b.schema.field("doc_id").type)
-                nth += 1
-                rows: list[tuple] = []
-                train = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
-                offsets, vocabulary, index = W.split(part.column("text"))
-                h = W.hashes(vocabulary)
-                row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-                # words: by segment and hash, the texts that hold them
-                order = np.lexsort((h, segment(h, segments)))
-                rank = np.empty(len(h), dtype=np.int64)
-                rank[order] = np.arange(len(h))
-                both, n = np.unique(rank[index] * part.num_rows + row, return_counts=True)
-                word, text = both // max(part.num_rows, 1), both % max(part.num_rows, 1)
-                total = np.bincount(word, weights=n * train[text], minlength=len(h)).astype("<u4")
-                holders = np.bincount(word, minlength=len(h)).astype("<u4")
-                seg = segment(h[order], segments)
-                first = [(s, x) for s, x in _blobs(seg, segments, h[order], total, holders)]
-                second = [x for _, x in _blobs(seg[word], segments, text.astype("<u2"), n.astype("<u4"))]
-                rows += [(s, 1, nth, *x, b"".join(y)) for (s, x), y in zip(first, second)]
-                # pairs of the training texts
-                begins, ends = offsets[:-1][train], offsets[1:][train]
-                wh = h[index]
-                before = np.empty_like(wh)
-                before[1:] = wh[:-1]
-                some = begins < ends
-                before[begins[some]] = END
-                pairs = pair(before[train[row]], wh[train[row]]) if len(wh) else wh
-                lasts = pair(np.where(some, wh[np.maximum(ends - 1, 0)], END) if len(wh) else np.full(len(ends), END), np.full(len(ends), END))
-                p, c = np.unique(np.concatenate([pairs, lasts]), return_counts=True)
-                order = np.argsort(segment(p, segments), kind="stable")
-                rows += [(s, 2, nth, *x, b"", b"") for s, x in _blobs(segment(p, segments)[order], segments, p[order], c[order].astype("<u4"))]
-                table = [pa.array(list(x)) for x in zip(*rows)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4)]
-                names = ["segment", "kind", "slice", "a", "b", "c", "d"]
-                none = pa.nulls(len(table[0]), ids_type)
-                yield pa.RecordBatch.from_arrays([*(x.cast(t) for x, t in zip(table, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4))), none], names=[*names, "ids"])
-                about = [np.diff(offsets).astype("<i8").tobytes(), part.column("h").to_numpy().astype("<i8").tobytes(), train.tobytes(), b""]
-                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id"))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([nth % segments], pa.int32()), pa.array([3], pa.int32()), pa.array([nth], pa.int64()), *(pa.array([x], pa.binary()) for x in about), ids], names=[*names, "ids"]
-                )
-
-    return docs.mapInArrow(run, f"segment int, kind int, slice long, a binary, b binary, c binary, d binary, ids array<{kind}>")
-
-
-def merged(blobs: DataFrame, segments: int, filter_bytes: int, kind: str) -> DataFrame:
-    """What the segments answer, written: kind 0 (a: tokens and distinct words, b: filter part), 1 (partial sums of a slice's texts), 3 (texts)."""
+            nth += 1
+            offsets, vocabulary, index = W.split(b.column("text"))
+            # the most frequent words have the least numbers
+            often = np.argsort(-np.bincount(index, minlength=len(vocabulary)), kind="stable")
+            number = np.empty(len(often), dtype="<u4")
+            number[often] = np.arange(len(often))
+            train, out = (b.column(c).to_numpy(zero_copy_only=False).astype("u1") for c in ("train", "out"))
+            row = (nth, 0, 3, _pack(np.diff(offsets).astype("<u8")), _pack(train + 2 * out), _pack(number[index]), W.hashes(vocabulary)[often].tobytes())
+            yield _batch([row], pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("doc_id")))
+
+    return written(docs.mapInArrow(run, SCHEMA.format(kind)), "slices")
+
+
+def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, flags, word numbers, hashes) of a slice."""
+    offsets = np.concatenate([[0], np.cumsum(_unpack(row["a"], "<u8").astype(np.int64))])
+    return offsets, _unpack(row["b"], "u1"), _unpack(row["c"], "<u4").astype(np.int64), np.frombuffer(row["d"], "<u8")
+
+
+def asked(slices: DataFrame, segments: int) -> DataFrame:
+    """(segment, kind, slice, a, b): a slice's words (kind 1) and pairs (2), by segment: differences of the sorted hashes, and counts in the texts that are learned from (0 for what only others have)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                offsets, flags, number, h = _texts(row)
+                train = (flags & 1).astype(np.float64)
+                pairs, where = np.unique(ngrams(h[number], offsets), return_inverse=True)
+                order = np.argsort(h)
+                words = np.bincount(number, weights=np.repeat(train, np.diff(offsets)), minlength=len(h))[order]
+                sides = [(1, h[order], words), (2, pairs, np.bincount(where, weights=np.repeat(train, np.diff(offsets) + 1), minlength=len(pairs)))]
+                rows = []
+                for kind, x, n in sides:
+                    cuts = np.searchsorted(segment(x, segments), np.arange(segments + 1))
+                    for s in np.flatnonzero(np.diff(cuts)).tolist():
+                        at = slice(cuts[s], cuts[s + 1])
+                        rows.append((s, kind, row["slice"], _pack(np.diff(x[at], prepend=np.uint64(0))), _pack(n[at].astype("<u4"))))
+                if rows:
+                    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), types)], names=["segment", "kind", "slice", "a", "b"])
+
+    return slices.select("slice", "a", "b", "c", "d").mapInArrow(run, "segment int, kind int, slice long, a binary, b binary")
+
+
+def merged(blobs: DataFrame, segments: int, filter_bytes: int | None, kind: str) -> DataFrame:
+    """What the segments answer, written: kind 0 (a: tokens and distinct words), 1 (a: counts of a slice's words, b: their classes), 2 (b: classes of its pairs)."""
 
     def run(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids_type = t.schema.field("ids").type
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
             part = t.slice(s, e - s)
-            kinds = part["kind"].to_numpy()
-            get = lambda k, name, type_: [np.frombuffer(x.as_py(), type_) for x in part[name].filter(pa.array(kinds == k))]  # noqa: B023, E731
-            out: list[tuple] = []
-            h1, c1, n1 = (get(1, x, y) for x, y in (("a", "<u8"), ("b", "<u4"), ("c", "<u4")))
-            empty = np.zeros(0, dtype=np.uint64)
-            words, inverse = np.unique(np.concatenate([empty, *h1]), return_inverse=True)
-            total = np.bincount(inverse, weights=np.concatenate([np.zeros(0), *c1]), minlength=len(words)).astype(np.int64)
-            h2, c2 = get(2, "a", "<u8"), get(2, "b", "<u4")
-            pairs, where = np.unique(np.concatenate([empty, *h2]), return_inverse=True)
-            often = np.bincount(where, weights=np.concatenate([np.zeros(0), *c2]), minlength=len(pairs)).astype(np.int64)
-            least = np.concatenate([np.ones(len(words)), np.full(len(pairs), LEAST_PAIR)])
-            bits = build(np.concatenate([words, pairs]), np.concatenate([total, often]), least, filter_bytes // segments)
             seg = int(part["segment"][0].as_py())
-            out.append((seg, 0, 0, np.array([total.sum(), (total > 0).sum()], dtype="<i8").tobytes(), bits.tobytes(), b""))
-            at = 0
-            of = part["slice"].filter(pa.array(kinds == 1)).to_numpy()
-            for nth, n, raw in zip(of.tolist(), n1, part["d"].filter(pa.array(kinds == 1))):
-                c = np.repeat(total[inverse[at : at + len(n)]], n)
-                at += len(n)
-                raw = raw.as_py()
-                m = int(n.sum())
-                text, times = np.frombuffer(raw, "<u2", m), np.frombuffer(raw, "<u4", m, 2 * m).astype(np.int64)
-                held, local = np.unique(text, return_inverse=True)
-                sums = np.bincount(local, weights=times * np.log10(c + 0.1), minlength=len(held))
-                known = np.bincount(local, weights=times * (c > 0), minlength=len(held))
-                out.append((seg, 1, nth, held.astype("<u2").tobytes(), sums.astype("<f8").tobytes(), known.astype("<u4").tobytes()))
-            types = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3)
-            arrays = [pa.array(list(x), y) for x, y in zip(zip(*out), types)]
-            names = ["segment", "kind", "slice", "a", "b", "c", "ids"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(out), ids_type)], names=names)
-            docs = part.filter(pa.array(kinds == 3)).select(names).combine_chunks()
-            yield from docs.to_batches()
-
-    return written(grouped(blobs, ["segment"], run, f"segment int, kind int, slice long, a binary, b binary, c binary, ids array<{kind}>", segments), "segments")
-
-
-def base_sums(answers: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, h, train, words, sums, known) of each text, from the segments' answers."""
+            held, sums, of, places = [], [], [], []
+            for k in (1, 2):
+                mine = part.filter(pa.array(part["kind"].to_numpy() == k))
+                h = [np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in mine["a"].to_pylist()]
+                n = [_unpack(x, "<u4").astype(np.float64) for x in mine["b"].to_pylist()]
+                grams, inverse = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *h]), return_inverse=True)
+                held.append(grams)
+                sums.append(np.bincount(inverse, weights=np.concatenate([np.zeros(0), *n]), minlength=len(grams)).astype(np.int64))
+                of.append(mine["slice"].to_pylist())
+                places.append(np.split(inverse, np.cumsum([len(x) for x in h])[:-1]) if h else [])
+            least = np.concatenate([np.ones(len(held[0])), np.full(len(held[1]), LEAST_PAIR)])
+            both = np.concatenate(held)
+            bits = build(both, np.concatenate(sums), least, filter_bytes // segments if filter_bytes is not None else None)
+            # the part alone: all these n-grams are of its segment
+            found = Filter([bits]).found(both).astype("u1")
+            out = [(0, seg, 0, np.array([sums[0].sum(), (sums[0] > 0).sum()], dtype="<i8").tobytes(), b"", b"", b"")]
+            out += [(nth, seg, 1, _pack(sums[0][at].astype("<u8")), _pack(found[at]), b"", b"") for nth, at in zip(of[0], places[0])]
+            out += [(nth, seg, 2, b"", _pack(found[len(held[0]) + at]), b"", b"") for nth, at in zip(of[1], places[1])]
+            yield _batch(out)
+
+    answers = grouped(blobs, ["segment"], run, SCHEMA.format(kind).rpartition(",")[0], segments)
+    return written(answers, "segments").withColumn("ids", F.lit(None).cast(f"array<{kind}>"))
+
+
+def scores(slices: DataFrame, answers: DataFrame, tokens: int, distinct: int, ends: int, kind: str, strength: float) -> DataFrame:
+    """(doc_id, held_out, words, sums, known, score) of each text, from the slices and the segments' answers."""
 
     def run(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            part = t.slice(s, e - s)
+            part = t.slice(s, e - s).sort_by("segment")
             kinds = part["kind"].to_numpy()
             about = part.filter(pa.array(kinds == 3))
-            words, h, train = (np.frombuffer(about[c][0].as_py(), x) for c, x in (("a", "<i8"), ("b", "<i8"), ("c", "?")))
-            sums, known = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64)
-            answers_ = part.filter(pa.array(kinds == 1)).sort_by("segment")
-            for a, b, c in zip(answers_["a"], answers_["b"], answers_["c"]):
-                held = np.frombuffer(a.as_py(), "<u2")
-                sums[held] += np.frombuffer(b.as_py(), "<f8")
-                known[held] += np.frombuffer(c.as_py(), "<u4")
-            ids = about["ids"].combine_chunks().flatten()
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x) for x in (h, train, words, sums, known))], names=["doc_id", "h", "train", "words", "sums", "known"])
-
-    return grouped(answers.filter("kind in (1, 3)"), ["slice"], run, f"doc_id {kind}, h long, train boolean, words long, sums double, known long")
-
-
-def model_scores(docs: DataFrame, parts: list[np.ndarray], tokens: int, distinct: int, ends: int, kind: str, strength: float) -> DataFrame:
-    """(doc_id, h, score) by the broadcast filter. `docs`: doc_id, h, text."""
-    shared = docs.sparkSession.sparkContext.broadcast(Filter(parts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = shared.value
-        for b in W.slices(batches):
-            offsets, vocabulary, index = W.split(b.column("text"))
-            h = W.hashes(vocabulary)
-            n = np.diff(offsets) + 1
-            place = np.concatenate([[0], np.cumsum(n)])
-            last = place[1:] - 1
+            offsets, flags, number, h = _texts({c: about[c][0].as_py() for c in "abcd"})
+            # answers by segment stand in the order of the sorted hashes
+            get = lambda k, name, type_: np.concatenate([np.zeros(0, type_), *(_unpack(x, type_) for x in part.filter(pa.array(kinds == k))[name].to_pylist())])  # noqa: B023, E731
+            count, alone, order = np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=np.int64), np.argsort(h)
+            count[order], alone[order] = get(1, "a", "<u8"), get(1, "b", "u1")
+            row = np.repeat(np.arange(len(flags)), np.diff(offsets))
+            sums = np.bincount(row, weights=np.log10(count + 0.1)[number], minlength=len(flags))
+            known = np.bincount(row, weights=(count > 0)[number], minlength=len(flags)).astype(np.int64)
+            _, where = np.unique(ngrams(h[number], offsets), return_inverse=True)
+            place = offsets + np.arange(len(offsets))
             is_word = np.ones(place[-1], dtype=bool)
-            is_word[last] = False
-            token = np.full(place[-1], END, dtype=np.uint64)
-            token[is_word] = h[index]
-            alone = np.append(filter_.counts(h), ends)
-            c = np.full(place[-1], alone[-1])
-            c[is_word] = alone[:-1][index]
-            before, cb = np.roll(token, 1), np.roll(c, 1)
-            before[place[:-1]], cb[place[:-1]] = END, ends
-            pairs, where = np.unique(pair(before, token), return_inverse=True)
-            c2 = np.minimum(filter_.counts(pairs)[where], cb)
+            is_word[place[1:] - 1] = False
+            c = np.full(place[-1], float(ends))
+            c[is_word] = MEANS[alone][number]
+            cb = np.roll(c, 1)
+            cb[place[:-1]] = ends
+            c2 = np.minimum(MEANS[get(2, "b", "u1")][where], cb)
             p1 = (c + 0.1) / (tokens + 0.1 * (distinct + 1))
-            score = np.add.reduceat(np.log10((c2 + strength * p1) / (cb + strength)), place[:-1]) if len(n) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(score)], names=["doc_id", "h", "score"])
+            score = np.add.reduceat(np.log10((c2 + strength * p1) / (cb + strength)), place[:-1])
+            ids = about["ids"].combine_chunks().flatten()
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x) for x in (flags & 2 > 0, np.diff(offsets), sums, known, score))], names=["doc_id", "held_out", "words", "sums", "known", "score"])
+
+    both = answers.filter("kind > 0").unionByName(slices)
+    return grouped(both, ["slice"], run, f"doc_id {kind}, held_out boolean, words long, sums double, known long, score double")
 
-    return docs.mapInArrow(run, f"doc_id {kind}, h long, score double")
 
+def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out: Column | None = None, filter_bytes: int | None = None, strength: float = STRENGTH) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from the rows that are not held out.
 
-def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out: Column | None = None, filter_bytes: int = FILTER_BYTES, strength: float = STRENGTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from the rows that are not held out."""
+    The filter has all it needs unless `filter_bytes` bounds it.
+    """
     kind = docs.schema[key].dataType.simpleString()
-    out = held_out if held_out is not None else F.coalesce(remainder(F.col(key)) == 0, F.lit(False))
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (~out & F.col(key).isNotNull()).alias("train"), out.alias("out")).withColumn("h", F.xxhash64("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    out = F.coalesce(held_out if held_out is not None else remainder(F.col(key)) == 0, F.lit(False))
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (~out & F.col(key).isNotNull()).alias("train"), out.alias("out"))
+    size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
     segments = max(12, -(-size // SEGMENT))
-    answers = merged(packed(rows.select("doc_id", "h", "text", "train"), segments, kind), segments, filter_bytes, kind)
-    got = answers.filter("kind = 0").select("segment", "a", "b").collect()
-    totals = sum((np.frombuffer(r["a"], "<i8") for r in got), np.zeros(2, dtype=np.int64))
-    parts = [np.zeros(1, dtype=np.uint64)] * segments
-    for r in got:
-        parts[r["segment"]] = np.frombuffer(r["b"], np.uint64)
-    del got
-    base = written(base_sums(answers, kind), "base")
-    ends = int(base.filter("train").count())
+    slices = sliced(rows, kind)
+    answers = merged(asked(slices, segments), segments, filter_bytes, kind)
+    totals = sum((np.frombuffer(r["a"], "<i8") for r in answers.filter("kind = 0").select("a").collect()), np.zeros(2, dtype=np.int64))
     tokens, distinct = int(totals[0]) + ends, int(totals[1]) + (ends > 0)
-    base = base.groupBy("doc_id", "h").agg(*(F.first(c).alias(c) for c in ("words", "sums", "known"))).select(F.col("doc_id").alias("i"), F.col("h").alias("g"), "words", "sums", "known")
-    scored = model_scores(rows.select("doc_id", "h", "text"), parts, tokens, distinct, ends, kind, strength)
-    met = scored.join(base, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
+    met = scores(slices, answers, tokens, distinct, ends, kind, strength)
     n = F.col("words") + 1
-    held = held_out if held_out is not None else F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False))
     return met.select(
         "doc_id",
-        held.alias("held_out"),
+        "held_out",
         n.alias("n_tokens"),
         (F.col("known") + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
