@@ -311,3 +311,17 @@ def test_op1_catches_passages(spark, prose_of):
     for r in out.collect():
         assert (r[name["n_removed"]] > 0) == (0 < r.doc_id < 100)
         assert (passage in r.text) == (r.doc_id == 0)
+
+
+def test_op1_short_sentences(spark, prose_of):
+    """A passage of sentences or lines too short for a run of three goes too, and with no more than it."""
+    import random
+
+    rng = random.Random(3)
+    for end in (". ", "\n"):
+        passage = end.join(" ".join(rng.choices(("ab", "cde", "fgh", "ij", "kl", "mno"), k=2)) for _ in range(40))
+        rows = [(i, f"{prose_of(rng, 50)}.\n{passage}.\n{prose_of(rng, 50)}") for i in range(3)]
+        out, name = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+        for r in out.collect():
+            assert (passage in r.text) == (r.doc_id == 0) and (len(r.text) < len(rows[r.doc_id][1]) - len(passage) + 20) == (r.doc_id > 0)
+            assert r.doc_id == 0 or all(x in r.text for x in (rows[r.doc_id][1][:100], rows[r.doc_id][1][-100:]))

@@ -1,7 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into pieces: a piece ends at a sentence's end, at a line's end, or after twelve words. Every run of
-`RUN` consecutive pieces with `LEAST` characters or more is hashed. Hashes are counted over the corpus and their first
+A text is cut into pieces: sentences and lines. Sentences are cut after twelve words; neighbouring ones of under
+`SHORT` characters are joined, and cut where a short sentence's hash is the least within `SHORT` characters on
+both sides, so that equal passages get equal pieces wherever they begin; a piece has `SHORT` characters at least. Where
+no hash leads for `FAR` characters, as in text that repeats itself, cuts follow by length. Every run of `RUN`
+consecutive pieces with `LEAST` characters or more is hashed, which leaves out short texts only. Hashes are counted over the corpus and their first
 place (least doc_id, then position) is kept; pieces covered by a run that is not its first place are removed. What
 remains of a text is joined as it stood.
 
@@ -29,8 +32,102 @@ from vettle.llm import words as W
 from vettle.llm.common import fresh, written
 
 RUN, LEAST, WORDS = 3, 60, 12
-#: Leading space, up to eleven words that end no sentence and no line, one more word.
-PIECE = re.compile(rf"[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++(?<![.!?])[\x20\x09\x0B-\x0D]++(?!\n)){{0,{WORDS - 1}}}[^\x20\x09-\x0D]++")
+SHORT, FAR = LEAST // RUN, 200
+SPACE = " \t\n\r\x0b\x0c"
+#: Leading space, words that end no sentence (an end may have a quote or bracket or two after it) and no line, one more word.
+SENTENCE = re.compile(
+    r"[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++(?<![.!?…。！？؟।])(?<![.!?…。！？؟।][\"')\]}”’»」』）])(?<![.!?…。！？؟।][\"')\]}”’»」』）]{2})[\x20\x09\x0B-\x0D]++(?!\n))*[^\x20\x09-\x0D]++"
+)
+UNIT = re.compile(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++")
+
+
+def parted(units: list[str]) -> list[str]:
+    """Units (words or short sentences) joined to pieces, cut at content-defined places."""
+    bare = [u.strip(SPACE) for u in units]
+    h = [xxhash.xxh64_intdigest(u) for u in bare]
+    at, total = [], 0
+    for u in bare:
+        total += len(u) + 1
+        at.append(total)
+    n = len(units)
+    leads = []
+    for i in range(n):
+        x, y = at[i], h[i]
+        if not SHORT < x < total - SHORT:
+            continue
+        j = i - 1
+        while j >= 0 and x - at[j] <= SHORT and h[j] > y:
+            j -= 1
+        if j >= 0 and x - at[j] <= SHORT:
+            continue
+        j = i + 1
+        while j < n and at[j] - x <= SHORT and h[j] >= y:
+            j += 1
+        if j == n or at[j] - x > SHORT:
+            leads.append(i)
+    out, begin, last = [], 0, 0
+    for end in [*leads, n - 1]:
+        if at[end] - last > FAR:
+            for i in range(begin, end):
+                if at[i] - last > LEAST and at[end] - at[i] > SHORT:
+                    out.append("".join(units[begin : i + 1]))
+                    begin, last = i + 1, at[i]
+        out.append("".join(units[begin : end + 1]))
+        begin, last = end + 1, at[end]
+    return out
+
+
+class Piece:
+    def __init__(self, text: str, end: int):
+        self._text, self._end = text, end
+
+    def group(self) -> str:
+        return self._text
+
+    def end(self) -> int:
+        return self._end
+
+
+class Pieces:
+    """Cuts texts; used like a compiled pattern. Pieces side by side are the text without the space at its end."""
+
+    def findall(self, text: str) -> list[str]:
+        out: list[str] = []
+        short: list[str] = []
+        lead = ""
+
+        def close() -> None:
+            nonlocal lead
+            if sum(len(x.strip(SPACE)) + 1 for x in short) > SHORT:
+                out.extend(parted(short))
+            elif out:
+                out[-1] += "".join(short)
+            else:
+                lead = "".join(short)
+            short.clear()
+
+        for x in SENTENCE.findall(text):
+            if len(x.strip(SPACE)) < SHORT:
+                short.append(x)
+                continue
+            if short:
+                close()
+            units = UNIT.findall(x)
+            out += ["".join(units[i : i + WORDS]) for i in range(0, len(units), WORDS)]
+            if lead:
+                out[0], lead = lead + out[0], ""
+        if short:
+            close()
+        return out or ([lead] if lead else [])
+
+    def finditer(self, text: str) -> Iterator[Piece]:
+        end = 0
+        for x in self.findall(text):
+            end += len(x)
+            yield Piece(x, end)
+
+
+PIECE = Pieces()
 
 
 def run_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
