@@ -325,3 +325,21 @@ def test_op1_short_sentences(spark, prose_of):
         for r in out.collect():
             assert (passage in r.text) == (r.doc_id == 0) and (len(r.text) < len(rows[r.doc_id][1]) - len(passage) + 20) == (r.doc_id > 0)
             assert r.doc_id == 0 or all(x in r.text for x in (rows[r.doc_id][1][:100], rows[r.doc_id][1][-100:]))
+
+
+def test_op1_mid_sentence(spark, prose_of):
+    """A passage without any sentence's end, begun at any offset in unpunctuated texts; pieces keep the text."""
+    import random
+
+    rng = random.Random(5)
+    plain = lambda n: prose_of(rng, n).replace(".", "")
+    rows = []
+    for i in range(50):
+        passage = plain(55)
+        rows += [(2 * i + k, f"{plain(rng.randint(20, 40))} {passage} {plain(rng.randint(20, 40))}") for k in range(2)]
+    out, name = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    caught = {r.doc_id for r in out.collect() if r[name["n_removed"]]}
+    assert all(i % 2 for i in caught) and len(caught) >= 45
+    for _, t in rows:
+        assert "".join(pieces(t)) == t
+    assert [x.strip() for x in pieces('He said "we never go there again." Then all of them left the old house.')] == ['He said "we never go there again."', "Then all of them left the old house."]

@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into pieces: sentences and lines. Sentences are cut after twelve words; neighbouring ones of under
-`SHORT` characters are joined, and cut where a short sentence's hash is the least within `SHORT` characters on
+A text is cut into pieces: sentences and lines. Sentences of more than twelve words, and neighbouring ones of under
+`SHORT` characters together, are cut where a word's (or short sentence's) hash is the least within `SHORT` characters on
 both sides, so that equal passages get equal pieces wherever they begin; a piece has `SHORT` characters at least. Where
 no hash leads for `FAR` characters, as in text that repeats itself, cuts follow by length. Every run of `RUN`
 consecutive pieces with `LEAST` characters or more is hashed, which leaves out short texts only. Hashes are counted over the corpus and their first
@@ -113,7 +113,7 @@ class Pieces:
             if short:
                 close()
             units = UNIT.findall(x)
-            out += ["".join(units[i : i + WORDS]) for i in range(0, len(units), WORDS)]
+            out += parted(units) if len(units) > WORDS else [x]
             if lead:
                 out[0], lead = lead + out[0], ""
         if short:
