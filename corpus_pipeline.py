@@ -26,10 +26,14 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs)
 
 
+#: Least similarity in percent of near duplicates; the query op8 has its own contract.
+NEAR_PERCENT = 80
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the least doc_id."""
     name = fresh(docs, "gone")["gone"]
-    comps = near_dedup.near_components(docs)
+    comps = near_dedup.near_components(docs, percent=NEAR_PERCENT)
     gone = written(comps.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "near-copies")
     return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 

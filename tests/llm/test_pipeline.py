@@ -25,6 +25,25 @@ def test_stages(spark, odd_dir):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in mixed.collect()}
 
 
+def test_near_stage_threshold(spark, prose_of):
+    """Of pairs with a similarity from 0.80 up to 0.85 one goes; those under 0.80 stay."""
+    import random
+
+    rng = random.Random(6)
+    rows, gone = [], set()
+    for i in range(30):
+        words = [f"{w}{i}" for w in prose_of(rng, 100).replace(".", "").split()]
+        other, n = list(words), 3 if i % 3 == 0 else 2  # 81 of 111 shingles (0.73) or 86 of 106 (0.81)
+        for k in range(n):
+            other[20 + 25 * k] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        if n == 2:
+            gone.add(2 * i + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in P.near_stage(spark, docs, "").collect()}
+    assert {i for i, _ in rows} - kept == gone
+
+
 def test_run(spark, empty_dir):
     assert P.run(spark, "/root/testdata/sf0.001").count() > 0
     assert P.run(spark, empty_dir).count() == 0
