@@ -129,8 +129,25 @@ def test_bloom_finds_all_repeats(spark):
     bits = exact_dedup.repeated_positions(h, 3)
     assert 0 < bits.count() <= 3
     docs = spark.range(5000).select("id", (F.col("id") % 4000).cast("string").alias("text"))
-    marked, name = exact_dedup.mark_copies(docs, "text", "id")
-    assert marked.filter(F.col(name["group_size"]) == 2).count() == 2000
+    assert exact_dedup.copies_table(docs, "text", "id").filter("group_size = 2").count() == 2000
+
+
+def test_exact_dedup_whole_rows(spark, odd, odd_rows, monkeypatch):
+    """Hot copies, repeated rows and a doc_id with unlike texts, over many buckets and without any broadcast."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "BITS", 64)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = odd.unionByName(odd.filter("doc_id in (5, 9)")).unionByName(odd.withColumns({"doc_id": F.lit(7).cast("long"), "text": F.concat(F.lit("own "), F.col("doc_id"))}))
+        kept = [(r.doc_id, re.sub(r"[\x20\x09-\x0D]", "", r.text or "")) for r in exact_dedup.exact_dedup(docs).collect()]
+        best = {}
+        for r in docs.collect():
+            k = re.sub(r"[\x20\x09-\x0D]", "", r.text or "")
+            best[k] = min(best.get(k, (1, 0)), (-len(r.text or ""), r.doc_id))
+        assert sorted(kept) == sorted((v[1], k) for k, v in best.items())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 @pytest.mark.parametrize("which", ["small", "odd"])

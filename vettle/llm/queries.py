@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vettle.llm import exact_dedup, langid, mixing, near_dedup, packing, quality, scoring, secrets, substring, surrogates
 from vettle.llm.common import documents
 
-#: Folder of the public vocabulary files.
-TOKENIZERS = os.environ.get("VETTLE_TOKENIZERS", "/opt/tokenizers")
 PII_KEY = "production-key-1"
 
 
-def vocabulary(folder: str = TOKENIZERS) -> tuple[str, str, str]:
+def vocabulary() -> tuple[str, str, str]:
     """(vocabulary file, ranks file, splitting pattern) of the byte-level BPE."""
-    scope: dict = {}
-    exec(compile((Path(folder) / "__init__.py").read_text(), "public_tokenizers", "exec"), scope | {"__file__": f"{folder}/__init__.py"}, scope)  # noqa: S102  the folder's own description
-    return f"{folder}/byte_bpe_50k.json", f"{folder}/byte_bpe_50k.tiktoken", scope["PATTERN"]
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +61,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, name = exact_dedup.mark_copies(documents(spark, sf_dir).select("doc_id", "text"))
-    return df.select("doc_id", *(F.col(name[c]).alias(c) for c in ("keep_id", "group_size", "kept")), F.col(name["sha"]).alias("text_sha256"))
+    df = exact_dedup.copies_table(documents(spark, sf_dir))
+    return df.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_pii_surrogates, op4_lm_scores, op5_packing, op6_language_id, op7_mixing, op8_near_dedup, op9_quality_rules, op10_exact_dedup)}
