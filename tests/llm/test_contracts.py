@@ -95,11 +95,19 @@ def test_op8_blocks(spark, prose_of, monkeypatch):
 
 
 def test_bayes_limits():
-    limits = near_dedup.least_matches()
-    assert [c for c, _ in limits] == [25, 50, 75, 100, 125]
-    p = 0.85 + 0.15 / 256
-    for c, m in limits:  # a pair at the threshold is hardly ever pruned
-        assert sum(math.comb(c, i) * p**i * (1 - p) ** (c - i) for i in range(m)) < 1e-3
+    """All pruning steps together lose under 1e-4 of the pairs at the threshold."""
+    for percent in (80, 85):
+        limits = near_dedup.least_matches(percent)
+        assert [c for c, _ in limits] == [25, 50, 75, 100, 125]
+        p = percent / 100 + (1 - percent / 100) / 256
+        alive, done = {0: 1.0}, 0
+        for c, least in limits:
+            step = {}
+            for m, x in alive.items():
+                for i in range(c - done + 1):
+                    step[m + i] = step.get(m + i, 0.0) + x * math.comb(c - done, i) * p**i * (1 - p) ** (c - done - i)
+            alive, done = {m: x for m, x in step.items() if m >= least}, c
+        assert 1 - sum(alive.values()) < 1e-4
 
 
 def test_op10_odd_rows(spark, odd_dir, odd_rows):
