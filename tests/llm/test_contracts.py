@@ -42,6 +42,33 @@ def test_null_keys(spark, null_key_dir, odd_rows, name):
     assert n >= len(odd_rows) if name == "op5_packing" else n == len(odd_rows)
 
 
+def test_op2_owned(spark, tmp_path):
+    """Wide candidates: those of one owner and of few texts are added, those of many and ordinary tokens are not; a base span hides them."""
+    live, shared, copied = "q1W2e3R4t5Y6u7I8o9P0zX", "z9Y8x7W6v5U4t3S2r1Q0pL", "m1N2b3V4c5X6z7L8k9J0hG"
+    rows = [(i, f"see {live} here", "a") for i in range(3)] + [(10, f"use {shared}", "a"), (11, f"or {shared}", "b"), (12, None, None), (13, "", "a")]
+    rows += [(20 + i, f"text {i} with {copied}", "a") for i in range(25)] + [(60 + i, f"{live[::-1]} the same text", "c") for i in range(30)]
+    rows += [(100, "id 3f2b8c1d-9a4e-4c7b-8f21-0d5e6a7b8c9d path/to/some-file_v2/2024-11-26/build-17 aaaa1111aaaa1111aaaa1111", "a"), (101, f'token="{live[:20]}99{live}" {live}', "n"), (102, f"{live[3:]}x7 {live[3:]}x7", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["op2_secret_scan"](spark, str(tmp_path))
+    same(df, ORACLES["op2_secret_scan"], str(tmp_path))
+    owned = {r.doc_id: r.spans.count("owned") for r in df.collect()}
+    assert {i for i, n in owned.items() if n} == {*range(60, 90), 102} and owned[102] == 2
+
+
+def test_op2_many_matches(spark):
+    """Thousands of matches in one text: places by prefix sums, in time little above proportion."""
+    import time
+
+    from vettle.llm import secrets
+
+    text = "".join(f"password=abc{i:07d} q1W2e3R4t5Y6u7I8{i:06d}zX " for i in range(8000))
+    began = time.perf_counter()
+    (row,) = secrets.secret_scan(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).collect()
+    assert time.perf_counter() - began < 60
+    want = sorted([(m.start(), 0, m.end()) for m in re.finditer(r"password=\w+", text)] + [(m.start(), 3, m.end()) for m in re.finditer(r"q1W\w+", text)])
+    assert [(s.start, s.kind, s.end) for s in row.spans] == want
+
+
 def documents(rows):
     return [(r[0], r[1]) for r in rows]
 

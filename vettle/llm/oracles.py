@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vettle.llm.secrets import ACCESS, ASSIGN, HEX, MOST_REPOSITORIES, WIDE
+from vettle.llm.secrets import ACCESS, ASSIGN, ENTROPY, HEX, MOST_REPOSITORIES, TOUCHING, UUID, WIDE
 
 
 def _quoted(pattern: str) -> str:
@@ -12,19 +12,21 @@ def _quoted(pattern: str) -> str:
 def _spans(kind: int, pattern: str, value: int, keep: str) -> str:
     p = _quoted(pattern)
     return f"""
-      select row_, doc_id, owner, {kind} as kind, start_, start_ + length(m) as end_, v as value from (
-        select row_, doc_id, owner, ms[i] as m, vs[i] as v,
+      select row_, doc_id, owner, repository, {kind} as kind, start_, start_ + length(m) as end_, v as value from (
+        select row_, doc_id, owner, repository, ms[i] as m, vs[i] as v,
                cast(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) as bigint) as start_
         from (select *, unnest(range(1, len(ms) + 1)) as i from (
-          select row_, doc_id, owner, regexp_extract_all(text, {p}) as ms, regexp_extract_all(text, {p}, {value}) as vs, regexp_split_to_array(text, {p}) as ps from docs))
+          select row_, doc_id, owner, repository, regexp_extract_all(text, {p}) as ms, regexp_extract_all(text, {p}, {value}) as vs, regexp_split_to_array(text, {p}) as ps from docs))
       ) where {keep}"""
 
 
+RANDOM = f"len(regexp_extract_all(v, '[A-Za-z][0-9]')) + len(regexp_extract_all(v, '[0-9][A-Za-z]')) >= {TOUCHING} and not regexp_matches(v, '{UUID}') and list_entropy(string_split(v, '')) >= {ENTROPY}"
+
 OP2 = f"""
-with docs as (select row_number() over () as row_, doc_id, source as owner, coalesce(text, '') as text from documents),
-found as ({' union all '.join((_spans(0, ASSIGN, 2, 'length(v) >= 6'), _spans(1, ACCESS, 1, 'true'), _spans(2, HEX, 1, 'true'), _spans(3, WIDE, 1, "regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')")))}),
+with docs as (select row_number() over () as row_, doc_id, source as owner, coalesce(text, '') as text, md5(coalesce(text, '')) as repository from documents),
+found as ({' union all '.join((_spans(0, ASSIGN, 2, 'length(v) >= 6'), _spans(1, ACCESS, 1, 'true'), _spans(2, HEX, 1, 'true'), _spans(3, WIDE, 1, RANDOM)))}),
 owned as (
-  select value, count(distinct coalesce(owner, '') || '|' || doc_id::varchar) as n_repositories, count(distinct owner) + max(case when owner is null then 1 else 0 end) as n_owners from found group by value),
+  select value, count(distinct coalesce('o' || owner, '') || '|' || repository) as n_repositories, count(distinct owner) + max(case when owner is null then 1 else 0 end) as n_owners from found group by value),
 judged as (select f.*, o.n_owners = 1 and o.n_repositories <= {MOST_REPOSITORIES} as live from found f join owned o using (value)),
 all_ as (
   select * from judged where kind < 3
