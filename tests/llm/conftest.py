@@ -37,9 +37,17 @@ def odd(spark, odd_rows):
     return spark.createDataFrame(odd_rows, SCHEMA)
 
 
+LABELS = [(5, 1, 0), (9, 1, 0), (11, 0, 1), (12, 0, 0), (None, 1, 0), (13, None, 0), (999, 0, 0), (15, 1, 0), (200, 1, 0), (105, 0, 0), (105, 0, 0)]
+
+
+def labelled(odd, d, n):
+    odd.sparkSession.createDataFrame(LABELS, "doc_id long, quality int, toxic int").limit(n).write.parquet(f"{d}/labels.parquet")
+
+
 @pytest.fixture(scope="session")
 def odd_dir(odd, tmp_path_factory):
     d = tmp_path_factory.mktemp("odd")
+    labelled(odd, d, 99)
     odd.coalesce(2).write.parquet(f"{d}/documents.parquet")
     return str(d)
 
@@ -47,6 +55,7 @@ def odd_dir(odd, tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty_dir(odd, tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
+    labelled(odd, d, 0)
     odd.limit(0).write.parquet(f"{d}/documents.parquet")
     return str(d)
 
@@ -56,6 +65,7 @@ def null_key_dir(odd, tmp_path_factory):
     from pyspark.sql import functions as F
 
     d = tmp_path_factory.mktemp("nullkey")
+    labelled(odd, d, 99)
     odd.withColumn("doc_id", F.when(F.col("doc_id") != 5, F.col("doc_id"))).coalesce(1).write.parquet(f"{d}/documents.parquet")
     return str(d)
 

@@ -321,6 +321,44 @@ def test_mix_repeats_rows(spark, odd, odd_rows):
     assert mixed.columns == odd.columns and count == Counter({k: plan[k] * n for k, n in twice.items() if plan[k]})
 
 
+def test_mix_weights_learn(spark):
+    """Weights from labels tell junk from prose; the mix of one epoch and a half prefers prose; ranges that hold many rows are cut again."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    from pyspark.sql import functions as F
+
+    narrow = docs.select("doc_id", *(c.alias(n) for n, c in mixing.figures("text").items()))
+    model = mixing.quality_model(narrow, labels)
+    w = narrow.select("doc_id", mixing.weight(model, {f"f_{f}": F.col(f"f_{f}") for f in mixing.FIGURES}).alias("w")).join(labels, "doc_id").groupBy("quality").agg(F.avg("w").alias("w")).collect()
+    mean = {r.quality: r.w for r in w}
+    assert mean[1] > 0.7 > 0.5 > mean[0]
+    assert mixing.quality_model(narrow, labels.limit(0))["", 0] == 0.0 and mixing.quality_model(narrow, None) == {}
+
+
+def test_mix_level_and_cuts(spark):
+    """Caps by repeated sums equal water filling in Python; a source of equal keys is taken whole or not at all."""
+    from pyspark.sql import functions as F
+
+    sizes = {f"s{i:02d}": 3 ** (i % 7) * 10 for i in range(20)} | {None: 50}
+    t = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(t).collect()}
+    names = sorted(x for x in sizes if x) + [None]
+    w = {n: (5.0, 2.0, 1.0)[i % 3] for i, n in enumerate(names)}
+    capped = set()
+    while True:
+        level = (1.5 * sum(sizes.values()) - sum(2 * sizes[n] for n in capped)) / sum(w[n] for n in names if n not in capped)
+        more = {n for n in names if n not in capped and level * w[n] > 2 * sizes[n]}
+        if not more:
+            break
+        capped |= more
+    assert got == {n: pytest.approx(min(2.0 * sizes[n], level * w[n])) for n in names}
+    docs = spark.range(3000).select(F.when(F.col("id") < 1000, 1).otherwise(F.col("id")).alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 1500, "x").otherwise("y").alias("source"))
+    by = {}
+    for r in mixing.mix_table(docs).collect():
+        by.setdefault((r.source, r.doc_id), set()).add(r.copies)
+    assert all(len(c) == 1 for c in by.values())
+
+
 def test_quality_filter(spark, odd):
     kept = quality.quality_filter(odd)
     assert kept.columns == odd.columns

@@ -41,15 +41,25 @@ select d.doc_id,
 from docs d left join named n using (row_) group by d.row_, d.doc_id
 """
 
-OP7 = r"""
-with sized as (
-  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-    case when length(coalesce(text, '')) > 0
-      then greatest(0.05::double, 1.0::double - 5.0::double * len(regexp_extract_all(text, '[#*$%&|<>]'))::double / length(text)::double)
-      else 0.05::double end as quality,
-    (('0x' || substr(md5('mix' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint)::double as u
-  from documents),
-drawn as (select *, -ln((u + 0.5::double) / 4503599627370496.0::double) / quality as draw from sized),
+_FIGURES = ("symbols", "length", "size", "distinct")
+OP7 = rf"""
+with words as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+counted as (
+  select doc_id, source, len(w)::bigint as size, len(list_distinct(w)) as d, length(text) as n, len(regexp_extract_all(text, '[#*$%&|<>]')) as y,
+    (('0x' || substr(md5('mix' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint)::double as u from words),
+sized as (
+  select doc_id, source, size, u, case when y = 0 then 0 when 100 * y < n then 1 when 20 * y < n then 2 else 3 end as f_symbols,
+    least(15, n // greatest(size, 1)) as f_length, least(16, length(bin(size))) as f_size, 10 * d // greatest(size, 1) as f_distinct from counted),
+labelled as (select s.*, quality from sized s join labels l using (doc_id) where quality in (0, 1)),
+total as (select count(*) filter (quality = 1) as g, count(*) filter (quality = 0) as b from labelled),
+bins as ({' union all '.join(f"select '{f}' as figure, f_{f} as bin, count(*) filter (quality = 1) as good, count(*) filter (quality = 0) as bad from labelled group by f_{f}" for f in _FIGURES)}),
+odds as (
+  select figure, bin, ln((coalesce(good, 0) + 1)::double / (g + 17)::double) - ln((coalesce(bad, 0) + 1)::double / (b + 17)::double) as o
+  from (select * from (values {', '.join(f"('{f}')" for f in _FIGURES)}) f(figure), range(0, 17) r(bin)) left join bins using (figure, bin), total),
+judged as (
+  select s.*, greatest(0.05::double, 1.0::double / (1.0::double + exp(-((select ln((g + 1)::double / (b + 1)::double) from total) + {' + '.join(f"o_{f}.o" for f in _FIGURES)})))) as quality
+  from sized s {' '.join(f"join odds o_{f} on o_{f}.figure = '{f}' and o_{f}.bin = s.f_{f}" for f in _FIGURES)}),
+drawn as (select *, -ln((u + 0.5::double) / 4503599627370496.0::double) / quality as draw from judged),
 sources as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rank from drawn group by source),
 weighed as (select *, [5.0, 2.0, 1.0][(rank % 3 + 1)::int]::double as w, 2.0::double * source_size as cap, sum(source_size) over () as all_ from sources),

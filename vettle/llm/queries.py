@@ -46,7 +46,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = mixing.mix_table(documents(spark, sf_dir))
+    df = mixing.mix_table(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return df.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
