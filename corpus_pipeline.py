@@ -39,8 +39,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.mix_sources(docs)
+    """Each document as often as the mix takes it; weights are learned from the table of labels."""
+    return mixing.mix_sources(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
