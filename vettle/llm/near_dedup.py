@@ -371,9 +371,10 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     survived = linked(bands, F.lit(1), BLOCK, first.select("id", F.col("sig").alias("payload")), lambda: Signatures(percent, miss), "buckets")
     clusters = written(components(survived, "clusters"), "clusters")
     weights = clusters.join(classes.groupBy("id").agg(F.max("n_shingles").alias("n")), "id").select(F.col("component").alias("g"), "id", "n")
-    # equal sets may come from unequal texts, any of them will do
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("payload"))
-    links = linked(written(weights, "cluster-rows"), F.greatest("n", F.lit(LEAST_WEIGHT)), BLOCK_SHINGLES, texts, lambda: Texts(percent), "links")
+    weights = written(weights, "cluster-rows")
+    # equal sets may come from unequal texts, any of them will do; all texts move here once, what follows meets those of clusters only
+    texts = written(docs.select(F.col(key).alias("id"), F.col(text).alias("payload")).join(weights.select("id"), "id", "left_semi"), "cluster-texts")
+    links = linked(weights, F.greatest("n", F.lit(LEAST_WEIGHT)), BLOCK_SHINGLES, texts, lambda: Texts(percent), "links")
     comps = written(components(links, "links"), "links")
     out = sigs.join(classes, same, "left").join(comps.withColumnRenamed("id", "c"), F.col("id") == F.col("c"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")).alias("component_id"))
