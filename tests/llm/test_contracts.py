@@ -288,6 +288,22 @@ def test_coder_on_odd_texts():
         assert ids[off[i] : off[i + 1]].tolist() == c.exact.encode(t or "", add_special_tokens=False).ids
 
 
+def test_coder_on_random_texts():
+    """Ids equal the library's on thousands of texts of letters, digits, signs and spaces of many kinds."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    c = packing.coder(*vocabulary())
+    parts = ["the", "The", "don't", "we'll", "I'M", "naïve", "Straße", "日本", "д", "12", "3.14", "1,000", "!!", "...", "--", "\t", "\n", "\r\n", " ", "  ", "\xa0", "\u3000", "é", "e\u0301", "😀", "_x_", "'s", "a1b2", "<|endoftext|>", "\x0b", "\x00", "\u200b", "ǆ", "²"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    ids, off = c.encode(pa.array(texts))
+    want = c.exact.encode_batch(texts, add_special_tokens=False)
+    for i, e in enumerate(want):
+        assert ids[off[i] : off[i + 1]].tolist() == e.ids, texts[i]
+
+
 def test_op6_accuracy_and_rules(spark, odd_dir):
     langs = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
     rows = QUERIES["op6_language_id"](spark, "/root/testdata/sf0.01").collect()
@@ -298,12 +314,66 @@ def test_op6_accuracy_and_rules(spark, odd_dir):
     assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (0, 1, 2, 11)) and odd[5].lang_pred in ("en", "de")
 
 
+def test_op9_failing_hosts(spark, tmp_path, prose_of):
+    """Hosts full of junk fail with their clean documents, small and clean ones don't: against SQL."""
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        host = ("good", "junk", "mixed", "fine", None)[i % 5]
+        bad = rng.random() < {"good": 0.02, "junk": 0.7, "mixed": 0.2, "fine": 0.0, None: 0.05}[host]
+        rows.append((i, "#### %%%% " * 12 if bad else prose_of(rng, 60), host))
+    rows += [(1000 + i, prose_of(rng, 3), f"small{i}") for i in range(3)] + [(1100 + i, prose_of(rng, 50), f"small{i}") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["op9_quality_rules"](spark, str(tmp_path))
+    same(df, ORACLES["op9_quality_rules"], str(tmp_path))
+    kept = {r.doc_id: (r.kept, r.base_failed) for r in df.collect()}
+    failed = {h for i, t, h in rows if kept[i] == (False, False)}
+    assert failed == {"junk"} and not any(kept[i][0] for i, t, h in rows if h == "junk")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in quality.quality_filter(docs).collect()} == {i for i, (k, _) in kept.items() if k}
+    each = docs.filter("source like 'small%' and doc_id < 1100")  # hosts of one document: nothing to tell hosts apart by
+    assert quality.quality_table(each).filter("host_failed").count() == 3  # all that there is fails
+
+
 def test_codes():
-    from vettle.llm.langid import codes
+    """Any two words differ enough, so that wrong bits are corrected; decoding equals the nearest word by brute force."""
+    from vettle.llm.langid import codes, decode
 
-    for n in (2, 4, 7, 9, 40):
+    rng = np.random.default_rng(3)
+    for n in (2, 4, 7, 9, 40, 200):
         m = codes(n)
         assert len(np.unique(m, axis=0)) == n and (np.abs(m.sum(0)) < n).all() and set(np.unique(m)) == {-1.0, 1.0}
+        far = min((m[i] != m[j]).sum() for i in range(n) for j in range(i))
+        assert far >= (2 ** (n - 2) if n <= 7 else m.shape[1] // 4)
+        f = rng.normal(size=(20, m.shape[1])) * 2
+        best, share, lead = decode(f, m)
+        for x, b, s, l in zip(f, best, share, lead):
+            loss = [sum(math.log1p(math.exp(-v * w)) for v, w in zip(x, word)) for word in m]
+            assert b == min(range(n), key=lambda i: loss[i]) and s == pytest.approx(1 / sum(math.exp(min(loss) - v) for v in loss))
+            assert l == pytest.approx(sorted(loss)[1] - min(loss))
+        wrong = m[n // 2] * 2
+        wrong[: (far - 1) // 2] *= -1
+        assert decode(wrong[None], m)[0][0] == n // 2
+
+
+def test_op6_many_languages(spark, prose_of):
+    """Every language takes part, rare ones too, however many there are."""
+    import random
+
+    from vettle.llm import langid
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(12):
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2)) for _ in range(6)]
+        rows += [(1000 * k + i, prose_of(rng, 40, own), f"l{k:02d}") for i in range(8 if k else 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, sample=60)
+    assert model[0] == [f"l{k:02d}" for k in range(12)]
+    got = langid.identified(docs.select("doc_id", "text"), model).collect()
+    assert sum(r.lang_pred == rows_lang for r, rows_lang in zip(sorted(got), [x[2] for x in sorted(rows)])) / len(rows) > 0.9
 
 
 def test_op7_targets(spark, odd_dir):

@@ -5,14 +5,16 @@ lower-cased text, relative frequencies of the whole text) gives a margin; the la
 logistic loss over the margins is predicted, and its share of exp(-loss) is the score. A lead of the best over the
 second under `margin` is flagged as ambiguous.
 
-The classifiers are fitted on a bounded sample: at most `per_language` documents of each language and `sample` in all,
-drawn by hash. Prediction reads every whole text in one pass without a shuffle.
+The classifiers are fitted on a bounded sample: each language's first documents by a hash, `per_language` of them at most
+and no more than its share of `sample`, one at least. Every language of the labels takes part. Prediction reads every
+whole text in one pass without a shuffle; a long text is worked on in parts of `CHUNK` bytes.
 
-Codes: all non-trivial splits for up to seven languages, else 8 * ceil(log2 n) random splits without equal words.
+Codes: all non-trivial splits for up to seven languages, any two words of which differ in 2^(n-2) bits; else 8 *
+ceil(log2 n) random splits, drawn so that any two words differ in a quarter of the bits or more.
 
 Defined cases: null text, empty text or text without a letter is `und` with score 0; documents without doc_id or
-language are not learned from; ties go to the first language by code point; without any labelled row all is `und`; an
-empty table gives an empty result; extra columns pass through `identified`.
+language are not learned from; repeated rows are predicted alike; ties go to the first language by code point; without
+any labelled row all is `und`; an empty table gives an empty result; extra columns pass through `identified`.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vettle.llm.words import own, slices
 
 BUCKETS, ORDERS = 4096, (1, 2, 3)
-PER_LANGUAGE, SAMPLE, LANGUAGES = 400, 4000, 1000
+PER_LANGUAGE, SAMPLE = 400, 4000
 CHUNK = 1 << 18
 UNKNOWN = "und"
 
@@ -43,8 +45,14 @@ def codes(n: int, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     bits = 8 * math.ceil(math.log2(n))
     while True:
-        m = rng.choice([-1.0, 1.0], size=(n, bits))
-        if len(np.unique(m, axis=0)) == n and (np.abs(m.sum(0)) < n).all():
+        m = np.zeros((n, bits))
+        for i in range(n):
+            while True:
+                word = rng.choice([-1.0, 1.0], size=bits)
+                if (m[:i] @ word <= bits - 2 * (bits // 4)).all():  # they differ in bits // 4 places at least
+                    break
+            m[i] = word
+        if (np.abs(m.sum(0)) < n).all():
             return m
 
 
@@ -126,23 +134,25 @@ def remainder(doc_id: Column) -> Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(languages, codes, weights, biases) from a sample of the documents whose remainder is not 1."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null").filter(remainder(F.col("doc_id")) != 1)
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not found:
+    counted = rows.groupBy("lang").count().collect()  # a row for each language
+    if not counted:
         return [], np.zeros((0, 1)), np.zeros((BUCKETS, 1)), np.zeros(1)
-    each = max(1, min(per_language, sample // len(found)))
-    share = F.lit(0.0)
-    for r in found:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, each / r["count"])).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000)) / 1e6
-    drawn = rows.withColumn("draw", draw).filter(F.col("draw") < share)
+    each = max(1, min(per_language, sample // len(counted)))
+    # about twice what is needed by hash, then the first of each language
+    share = {r["lang"]: min(1.0, (2 * each + 20) / r["count"]) for r in counted}
+    shares = F.broadcast(rows.sparkSession.createDataFrame(list(share.items()), "l string, share double"))
+    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000_007)) / 1_000_000_007
+    drawn = rows.withColumn("draw", draw).join(shares, F.col("lang") == F.col("l")).filter(F.col("draw") < F.col("share")).select("doc_id", "lang", "draw", "text")
+    drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).filter(F.col("nth") <= each)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=1 << 20):
             raw = [x.astype("<f4").tobytes() for x in counts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("draw"), pa.array(raw, pa.binary())], names=["lang", "draw", "x"])
 
-    got = drawn.select("lang", "draw", "text").mapInArrow(features, "lang string, draw double, x binary").orderBy("draw", "lang", "x").limit(sample).collect()
-    languages = sorted({r["lang"] for r in got}) or [found[0]["lang"]]
+    got = drawn.select("lang", "draw", "text").mapInArrow(features, "lang string, draw double, x binary").collect()
+    got.sort(key=lambda r: (r["draw"], r["lang"], r["x"]))
+    languages = sorted(share)
     m = codes(len(languages))
     if not got or len(languages) == 1:
         return languages, m, np.zeros((BUCKETS, m.shape[1])), np.zeros(m.shape[1])

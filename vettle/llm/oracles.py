@@ -115,9 +115,11 @@ rules as (
   union all select source, 'lines', (10 * n_dup_lines > 3 * n_lines)::int from based
   union all select source, 'words', (n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words))::int from based),
 hosts as (select source, rule, sum(f)::double as f, count(*)::double as n from rules group by source, rule),
-prior as (select rule, sum(f) / sum(n) as m, var_pop(f / n) as v from hosts group by rule),
-strength as (select rule, m, case when v > 0 then least(1e6, greatest(1.0, m * (1 - m) / v - 1)) else 1e6 end as k from prior),
-verdicts as (select source, bool_or((f + m * k) / (n + k) > 0.5) as failed from hosts join strength using (rule) group by source)
+prior as (select rule, sum(f) / sum(n) as m, sum(f * f / n) as ff, sum(n) as n_all, sum(n * n) as nn, count(*) as hosts from hosts group by rule),
+between_ as (select *, case when m > 0 and m < 1 and hosts > 1 then ((ff - m * m * n_all) / (m * (1 - m)) - (hosts - 1)) / nullif(n_all - nn / n_all - (hosts - 1), 0) end as b from prior),
+strength as (select rule, m, case when b > 0 then least(1e6, greatest(1.0, 1 / b - 1)) else 1e6 end as k from between_),
+rates as (select source, n + k as nk, (f + m * k) / (n + k) as r from hosts join strength using (rule)),
+verdicts as (select source, bool_or(r - sqrt(r * (1 - r) / (nk + 1)) > 0.3) as failed from rates group by source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not failed as kept
 from based b join verdicts v on b.source is not distinct from v.source
 """

@@ -9,8 +9,10 @@ spaces, where the vocabulary's splitting rule always cuts, and only the distinct
 call, by the same vocabulary's ranks. Texts with two white-space characters in a row are encoded whole, and texts with
 characters outside ASCII and Latin letters, or with the special token's string, by the library tokenizers.
 
-Defined cases: null text is empty and has its end token alone; repeated rows are packed as often as they stand there;
-an empty table gives an empty result.
+Defined cases: null text is empty and has its end token alone; texts are tokenized whole at any length, and a text of
+more than one sequence has a piece in each; the special token's string in a text becomes its id, as the library has it;
+repeated rows are packed as often as they stand there, rows that tie follow the table's order; an empty table gives an
+empty result; columns other than key and text are not read.
 """
 
 from __future__ import annotations

@@ -1,13 +1,15 @@
 """Quality rules with host verdicts.
 
 Each document's rule failures are summed by host (any column: here the source). A host's failure rate of a rule is
-shrunk towards the corpus by a beta prior fitted to the hosts by moments, and a host whose shrunk rate of any rule
-passes `max_rate` fails with all its documents. Built-in functions only; texts never shuffle: features are written as
+shrunk towards the corpus by a beta prior fitted to the hosts by moments (hosts weighed by their documents, chance
+variation taken off), and a host for which the rate less its posterior deviation, for any rule,
+passes `max_rate` (three documents in ten) fails with all its documents. The fewer documents a host has, and the more
+alike the hosts are, the nearer its rate is to the corpus's; a corpus of like hosts has no failing one. Built-in functions only; texts never shuffle: features are written as
 a narrow table, aggregated by host with map-side sums, and met with the few host rows again.
 
-Defined cases: null or empty text has no words and fails; a null host is a host of its own; repeated rows count as
-often as they stand there; an empty table gives an empty result; extra columns pass through `quality_filter`.
-Windows are compared by 64-bit hash within one text.
+Defined cases: null or empty text has no words and fails; texts are read whole at any length; a null host is a host of
+its own; repeated rows count as often as they stand there; a rate that ties with `max_rate` passes; an empty table gives
+an empty result; extra columns pass through `quality_filter`, whatever they are called. Windows are compared by 64-bit hash within one text.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vettle.llm.common import SPACE, WORD, fresh, sized_join, text_or_empty, written
 
-WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT, MAX_RATE = 8, 20, 30, 0.5
+WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT, MAX_RATE = 8, 20, 30, 0.3
 #: Beside the base verdict, these fail a document towards its host's rates; alone they drop nothing.
 RULES = {
     "base": "base_failed",
@@ -60,22 +62,29 @@ def features(docs: DataFrame, text: str, out: dict[str, str]) -> DataFrame:
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def shrunk(f: Column, docs: Column, m: Column, ff: Column, n: Column, nn: Column, hosts: Column) -> tuple[Column, Column]:
+    """(a host's shrunk rate, the same less a posterior deviation). m: rate over all, ff: sum over hosts of f^2 / docs, nn: of docs^2.
+
+    The share of variation between hosts, by moments, gives the prior's strength: 1 at least, 10^6 where hosts are alike.
+    """
+    between = ((ff - m * m * n) / F.nullif(m * (1 - m), F.lit(0.0)) - (hosts - 1)) / F.nullif(n - nn / n - (hosts - 1), F.lit(0.0))
+    strength = F.when((m > 0) & (m < 1) & (hosts > 1) & (between > 0), F.least(F.lit(1e6), F.greatest(F.lit(1.0), 1 / between - 1))).otherwise(F.lit(1e6))
+    rate = (f + m * strength) / (docs + strength)
+    return rate, rate - F.sqrt(rate * (1 - rate) / (docs + strength + 1))
+
+
 def host_verdicts(feats: DataFrame, host: str, max_rate: float = MAX_RATE) -> DataFrame:
     """(host, n_docs, rate_<rule> ..., host_failed) with shrunk rates."""
     by = feats.groupBy(host).agg(F.count("*").alias("n_docs"), *(F.sum(F.expr(x).cast("long")).alias(f"f_{k}") for k, x in RULES.items()))
     by = written(by, "host-sums")
-    prior = by.agg(*(F.struct((F.sum(f"f_{k}") / F.sum("n_docs")).alias("m"), F.var_pop(F.col(f"f_{k}") / F.col("n_docs")).alias("v")).alias(k) for k in RULES))
+    n = F.sum("n_docs").cast("double")
+    prior = by.agg(F.count("*").alias("hosts"), n.alias("n"), F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("nn"), *(F.struct((F.sum(f"f_{k}") / n).alias("m"), F.sum(F.col(f"f_{k}") * F.col(f"f_{k}") / F.col("n_docs")).alias("ff")).alias(k) for k in RULES))
     met = by.crossJoin(F.broadcast(prior))  # one row
-    rates = {}
-    for k in RULES:
-        m, v = F.col(k)["m"], F.col(k)["v"]
-        strength = F.when(v > 0, F.least(F.lit(1e6), F.greatest(F.lit(1.0), m * (1 - m) / v - 1))).otherwise(F.lit(1e6))
-        rates[f"rate_{k}"] = (F.col(f"f_{k}") + m * strength) / (F.col("n_docs") + strength)
-    met = met.withColumns(rates)
-    failed = F.lit(False)
+    failed, rates = F.lit(False), {}
     for k in RULES:
-        failed = failed | (F.col(f"rate_{k}") > max_rate)
-    return met.select(F.col(host).alias("host"), "n_docs", *rates, failed.alias("host_failed"))
+        rates[f"rate_{k}"], low = shrunk(F.col(f"f_{k}"), F.col("n_docs"), F.col(k)["m"], F.col(k)["ff"], F.col("n"), F.col("nn"), F.col("hosts"))
+        failed = failed | (low > max_rate)
+    return met.select(F.col(host).alias("host"), "n_docs", *(c.alias(x) for x, c in rates.items()), failed.alias("host_failed"))
 
 
 def quality_table(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
@@ -91,7 +100,7 @@ def quality_table(docs: DataFrame, text: str = "text", key: str = "doc_id", host
 def quality_filter(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
     """The rows of `docs` that pass their own base rules and whose host passes."""
     name = fresh(docs, *FIGURES, "words", "lines", "host")
-    rows = features(docs, text, name)
+    rows = written(features(docs, text, name).select(*docs.columns, *(name[k] for k in FIGURES)), "quality-rows")
     plain = rows.select(F.col(host).alias("host"), *(F.col(name[k]).alias(k) for k in FIGURES))
     bad = written(host_verdicts(plain, "host", max_rate).filter("host_failed").select(F.col("host").alias(name["host"])), "bad-hosts")
     return sized_join(rows.filter(~F.col(name["base_failed"])), bad, F.col(host).eqNullSafe(F.col(name["host"])), "left_anti").select(*docs.columns)
