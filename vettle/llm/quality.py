@@ -62,29 +62,29 @@ def features(docs: DataFrame, text: str, out: dict[str, str]) -> DataFrame:
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-def shrunk(f: Column, docs: Column, m: Column, ff: Column, n: Column, nn: Column, hosts: Column) -> tuple[Column, Column]:
-    """(a host's shrunk rate, the same less a posterior deviation). m: rate over all, ff: sum over hosts of f^2 / docs, nn: of docs^2.
+def strength(m: Column, ff: Column, n: Column, nn: Column, hosts: Column) -> Column:
+    """The prior's strength, by the share of variation between hosts: 1 at least, 10^6 where hosts are alike.
 
-    The share of variation between hosts, by moments, gives the prior's strength: 1 at least, 10^6 where hosts are alike.
+    m: rate over all, ff: sum over hosts of f^2 / docs, n: of docs, nn: of docs^2.
     """
     between = ((ff - m * m * n) / F.nullif(m * (1 - m), F.lit(0.0)) - (hosts - 1)) / F.nullif(n - nn / n - (hosts - 1), F.lit(0.0))
-    strength = F.when((m > 0) & (m < 1) & (hosts > 1) & (between > 0), F.least(F.lit(1e6), F.greatest(F.lit(1.0), 1 / between - 1))).otherwise(F.lit(1e6))
-    rate = (f + m * strength) / (docs + strength)
-    return rate, rate - F.sqrt(rate * (1 - rate) / (docs + strength + 1))
+    return F.when((m > 0) & (m < 1) & (hosts > 1) & (between > 0), F.least(F.lit(1e6), F.greatest(F.lit(1.0), 1 / between - 1))).otherwise(F.lit(1e6))
 
 
 def host_verdicts(feats: DataFrame, host: str, max_rate: float = MAX_RATE) -> DataFrame:
     """(host, n_docs, rate_<rule> ..., host_failed) with shrunk rates."""
     by = feats.groupBy(host).agg(F.count("*").alias("n_docs"), *(F.sum(F.expr(x).cast("long")).alias(f"f_{k}") for k, x in RULES.items()))
     by = written(by, "host-sums")
-    n = F.sum("n_docs").cast("double")
-    prior = by.agg(F.count("*").alias("hosts"), n.alias("n"), F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("nn"), *(F.struct((F.sum(f"f_{k}") / n).alias("m"), F.sum(F.col(f"f_{k}") * F.col(f"f_{k}") / F.col("n_docs")).alias("ff")).alias(k) for k in RULES))
+    docs = F.col("n_docs").cast("double")
+    sums = by.agg(F.count("*").alias("hosts"), F.sum(docs).alias("n"), F.sum(docs * docs).alias("nn"), *(F.struct((F.sum(f"f_{k}") / F.sum(docs)).alias("m"), F.sum(F.col(f"f_{k}") * F.col(f"f_{k}") / docs).alias("ff")).alias(k) for k in RULES))
+    prior = sums.select(*(F.col(k)["m"].alias(f"m_{k}") for k in RULES), *(strength(F.col(k)["m"], F.col(k)["ff"], F.col("n"), F.col("nn"), F.col("hosts")).alias(f"s_{k}") for k in RULES))
     met = by.crossJoin(F.broadcast(prior))  # one row
-    failed, rates = F.lit(False), {}
+    met = met.withColumns({f"rate_{k}": (F.col(f"f_{k}") + F.col(f"m_{k}") * F.col(f"s_{k}")) / (docs + F.col(f"s_{k}")) for k in RULES})
+    failed, rates = F.lit(False), [f"rate_{k}" for k in RULES]
     for k in RULES:
-        rates[f"rate_{k}"], low = shrunk(F.col(f"f_{k}"), F.col("n_docs"), F.col(k)["m"], F.col(k)["ff"], F.col("n"), F.col("nn"), F.col("hosts"))
-        failed = failed | (low > max_rate)
-    return met.select(F.col(host).alias("host"), "n_docs", *(c.alias(x) for x, c in rates.items()), failed.alias("host_failed"))
+        rate = F.col(f"rate_{k}")
+        failed = failed | (rate - F.sqrt(rate * (1 - rate) / (docs + F.col(f"s_{k}") + 1)) > max_rate)
+    return met.select(F.col(host).alias("host"), "n_docs", *rates, failed.alias("host_failed"))
 
 
 def quality_table(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
