@@ -197,9 +197,22 @@ def test_op4_base(spark, odd_dir, odd_rows, which):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9, abs=1e-6)
 
 
-def test_op4_model_beats_base(spark):
-    rows = [r for r in QUERIES["op4_lm_scores"](spark, SMALL).collect() if r.held_out]
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_op4_model_beats_base(spark, sf):
+    """On held-out text, at every size; nothing that is learned stops growing."""
+    rows = QUERIES["op4_lm_scores"](spark, f"/root/testdata/sf{sf}").filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert rows["sum(score)"] > rows["sum(base_score)"]
+
+
+def test_op4_dealt_segments(spark, monkeypatch):
+    """Segments dealt to several tasks give the same scores to the last bit: any number of slices and segments."""
+    from vettle.llm import scoring
+
+    monkeypatch.setattr(scoring, "SLICE", 20_000)
+    want = sorted((r.doc_id, r.score, r.base_score, r.n_known, r.train_tokens) for r in QUERIES["op4_lm_scores"](spark, SMALL).collect())
+    monkeypatch.setattr(scoring, "MOST_SLICES", 3)
+    got = sorted((r.doc_id, r.score, r.base_score, r.n_known, r.train_tokens) for r in QUERIES["op4_lm_scores"](spark, SMALL).collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and all(g[1:] == pytest.approx(w[1:], rel=1e-12) for g, w in zip(got, want))
 
 
 def test_filter_counts():

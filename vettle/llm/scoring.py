@@ -2,7 +2,9 @@
 
 Counting. Texts are cut into slices, written as compressed word numbers. Each slice sends its distinct words and word
 pairs, packed by hash segment, to the segment's task, which sums the counts over the corpus and answers each slice with
-its words' exact counts; no vocabulary is gathered anywhere.
+its words' exact counts; no vocabulary is gathered anywhere. Over `MOST_SLICES` slices, a segment's slices are dealt to
+several tasks that sum and then answer a share of them each, with one more step of sums between, so that a word which
+stands in every slice does not fill one task.
 
 Filter. A segment enters its words, and the pairs seen `LEAST_PAIR` times or more, into its part of a Bloom filter: an
 n-gram whose count has quantised logarithm q (base 2, from 1) is entered with each of 1..q. Parts have `BITS` bits an
@@ -16,7 +18,8 @@ Words are known by a 64-bit hash (an error in V or a count is expected once in 1
 
 Defined cases: null text is empty and is the end token alone; rows without doc_id are not learned from and not held
 out; rows that repeat are rows of their own, scored alike; without training text all counts are 0 and every score is 0;
-an empty table gives an empty result.
+texts are read whole at any length, one longer than a slice is a slice of its own; ties in a count do not matter; an
+empty table gives an empty result; columns other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,8 @@ from vettle.llm.common import written
 from vettle.llm.near_dedup import grouped
 
 SLICE, SEGMENT = 6 << 20, 8_000_000
+#: Slices of a segment that one task holds.
+MOST_SLICES = 4096
 BITS, LEAST_PAIR, STRENGTH = 12, 2, 100.0
 END = np.uint64(0x5EED0FE0D0FE0D01)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -187,42 +193,88 @@ def asked(slices: DataFrame, segments: int) -> DataFrame:
                     cuts = np.searchsorted(segment(x, segments), np.arange(segments + 1))
                     for s in np.flatnonzero(np.diff(cuts)).tolist():
                         at = slice(cuts[s], cuts[s + 1])
-                        rows.append((s, kind, row["slice"], _pack(np.diff(x[at], prepend=np.uint64(0))), _pack(n[at].astype("<u4"))))
+                        rows.append((s, kind, row["slice"], _pack(np.diff(x[at], prepend=np.uint64(0))), _pack(n[at].astype("<u8"))))
                 if rows:
-                    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), types)], names=["segment", "kind", "slice", "a", "b"])
+                    yield _blobs(rows)
 
-    return slices.select("slice", "a", "b", "c", "d").mapInArrow(run, "segment int, kind int, slice long, a binary, b binary")
+    return slices.select("slice", "a", "b", "c", "d").mapInArrow(run, BLOBS)
 
 
-def merged(blobs: DataFrame, segments: int, filter_bytes: int | None, kind: str) -> DataFrame:
+BLOBS = "segment int, kind int, slice long, a binary, b binary"
+
+
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), types)], names=["segment", "kind", "slice", "a", "b"])
+
+
+def _summed(part: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, list[int], list[np.ndarray]]:
+    """(n-grams, counts, slices, each slice's places among the n-grams) of a kind in a segment's blobs."""
+    mine = part.filter(pa.array(part["kind"].to_numpy() == kind))
+    h = [np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in mine["a"].to_pylist()]
+    n = [_unpack(x, "<u8").astype(np.float64) for x in mine["b"].to_pylist()]
+    grams, inverse = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *h]), return_inverse=True)
+    sums = np.bincount(inverse, weights=np.concatenate([np.zeros(0), *n]), minlength=len(grams)).astype(np.int64)
+    return grams, sums, mine["slice"].to_pylist(), np.split(inverse, np.cumsum([len(x) for x in h])[:-1]) if h else []
+
+
+def _totals(counts: np.ndarray) -> bytes:
+    return f"{counts.sum()},{(counts > 0).sum()}".encode()
+
+
+def tables(blobs: DataFrame, keys: list[str]) -> DataFrame:
+    """Blobs of each group of `keys` (the segment first) summed to one of a kind; slice is null."""
+
+    def run(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            part = t.slice(s, e - s)
+            seg, out = int(part["segment"][0].as_py()), []
+            for kind in (1, 2):
+                grams, sums, _, _ = _summed(part, kind)
+                out.append((seg, kind, None, _pack(np.diff(grams, prepend=np.uint64(0))), _pack(sums.astype("<u8"))))
+            yield _blobs(out)
+
+    return grouped(blobs, keys, run, BLOBS)
+
+
+def merged(blobs: DataFrame, segments: int, filter_bytes: int | None, kind: str, slices: int) -> DataFrame:
     """What the segments answer, written: kind 0 (a: tokens and distinct words), 1 (a: counts of a slice's words, b: their classes), 2 (b: classes of its pairs)."""
+    salts = max(1, -(-slices // MOST_SLICES))
 
     def run(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
             part = t.slice(s, e - s)
-            seg = int(part["segment"][0].as_py())
-            held, sums, of, places = [], [], [], []
+            seg, own = int(part["segment"][0].as_py()), pa.array(part["slice"].is_null().to_numpy())
+            sides = []
             for k in (1, 2):
-                mine = part.filter(pa.array(part["kind"].to_numpy() == k))
-                h = [np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in mine["a"].to_pylist()]
-                n = [_unpack(x, "<u4").astype(np.float64) for x in mine["b"].to_pylist()]
-                grams, inverse = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *h]), return_inverse=True)
-                held.append(grams)
-                sums.append(np.bincount(inverse, weights=np.concatenate([np.zeros(0), *n]), minlength=len(grams)).astype(np.int64))
-                of.append(mine["slice"].to_pylist())
-                places.append(np.split(inverse, np.cumsum([len(x) for x in h])[:-1]) if h else [])
-            least = np.concatenate([np.ones(len(held[0])), np.full(len(held[1]), LEAST_PAIR)])
-            both = np.concatenate(held)
-            bits = build(both, np.concatenate(sums), least, filter_bytes // segments if filter_bytes is not None else None)
+                if salts == 1:
+                    sides.append(_summed(part, k))
+                else:  # the sums over all slices are there as a blob without a slice
+                    grams, sums, _, _ = _summed(part.filter(own), k)
+                    mine, _, of, places = _summed(part.filter(pc.invert(own)), k)
+                    at = np.searchsorted(grams, mine)
+                    sides.append((grams, sums, of, [at[x] for x in places]))
+            (words, word_counts, word_of, word_places), (pairs, pair_counts, pair_of, pair_places) = sides
+            least = np.concatenate([np.ones(len(words)), np.full(len(pairs), LEAST_PAIR)])
+            both = np.concatenate([words, pairs])
+            bits = build(both, np.concatenate([word_counts, pair_counts]), least, filter_bytes // segments if filter_bytes is not None else None)
             # the part alone: all these n-grams are of its segment
             found = Filter([bits]).found(both).astype("u1")
-            out = [(0, seg, 0, np.array([sums[0].sum(), (sums[0] > 0).sum()], dtype="<i8").tobytes(), b"", b"", b"")]
-            out += [(nth, seg, 1, _pack(sums[0][at].astype("<u8")), _pack(found[at]), b"", b"") for nth, at in zip(of[0], places[0])]
-            out += [(nth, seg, 2, b"", _pack(found[len(held[0]) + at]), b"", b"") for nth, at in zip(of[1], places[1])]
-            yield _batch(out)
-
-    answers = grouped(blobs, ["segment"], run, SCHEMA.format(kind).rpartition(",")[0], segments)
+            first = salts == 1 or part["salt"][0].as_py() == 0
+            out = [(0, seg, 0, _totals(word_counts), b"", b"", b"")] if first else []
+            out += [(nth, seg, 1, _pack(word_counts[at].astype("<u8")), _pack(found[at]), b"", b"") for nth, at in zip(word_of, word_places)]
+            out += [(nth, seg, 2, b"", _pack(found[len(words) + at]), b"", b"") for nth, at in zip(pair_of, pair_places)]
+            if out:
+                yield _batch(out)
+
+    schema = SCHEMA.format(kind).rpartition(",")[0]
+    if salts == 1:
+        answers = grouped(blobs, ["segment"], run, schema, segments)
+    else:
+        dealt = written(blobs, "slice-blobs").withColumn("salt", F.pmod(F.xxhash64("slice"), F.lit(salts)).cast("int"))
+        sums = written(tables(tables(dealt, ["segment", "salt"]), ["segment"]), "segment-sums")
+        each = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        answers = grouped(dealt.unionByName(each), ["segment", "salt"], run, schema)
     return written(answers, "segments").withColumn("ids", F.lit(None).cast(f"array<{kind}>"))
 
 
@@ -271,9 +323,10 @@ def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", held_out
     size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
     segments = max(12, -(-size // SEGMENT))
     slices = sliced(rows, kind)
-    answers = merged(asked(slices, segments), segments, filter_bytes, kind)
-    totals = sum((np.frombuffer(r["a"], "<i8") for r in answers.filter("kind = 0").select("a").collect()), np.zeros(2, dtype=np.int64))
-    tokens, distinct = int(totals[0]) + ends, int(totals[1]) + (ends > 0)
+    answers = merged(asked(slices, segments), segments, filter_bytes, kind, slices.count())
+    total = lambda i: F.coalesce(F.sum(F.split(F.col("a").cast("string"), ",")[i].cast("long")), F.lit(0))
+    tokens, distinct = answers.filter("kind = 0").agg(total(0), total(1)).first()
+    tokens, distinct = tokens + ends, distinct + (ends > 0)
     met = scores(slices, answers, tokens, distinct, ends, kind, strength)
     n = F.col("words") + 1
     return met.select(
