@@ -4,16 +4,21 @@ A text is cut into pieces: sentences and lines. Sentences of more than twelve wo
 `SHORT` characters together, are cut where a word's (or short sentence's) hash is the least within `SHORT` characters on
 both sides, so that equal passages get equal pieces wherever they begin; a piece has `SHORT` characters at least. Where
 no hash leads for `FAR` characters, as in text that repeats itself, cuts follow by length. Every run of `RUN`
-consecutive pieces with `LEAST` characters or more is hashed, which leaves out short texts only. Hashes are counted over the corpus and their first
+consecutive pieces with `LEAST` characters or more is hashed, so that passages of some twenty words or less, which
+stock phrases and lists share, stay. Hashes are counted over the corpus and their first
 place (least doc_id, then position) is kept; pieces covered by a run that is not its first place are removed. What
 remains of a text is joined as it stood.
 
 One pass writes the runs as (hash, text, place) rows; counts combine on the map side, so a passage that a third of all
 texts hold is a row a task; places meet the repeated hashes by a shuffled join whose hot keys adaptive execution splits.
 
-Defined cases: null text stays null; rows that repeat doc_id and text are one document and are treated alike; a text
-with fewer than RUN pieces is one run of all its pieces; ties go to the least doc_id, null first; an empty table gives
-an empty result; extra columns pass through.
+Texts are joined with what goes from them by document and hash, once; where that is few bytes, adaptive execution
+broadcasts it and no text moves.
+
+Defined cases: null text stays null, empty text empty; texts are cut whole at any length, in time in proportion; rows
+that repeat doc_id and text are one document and are treated alike; a text with fewer than RUN pieces is one run of all
+its pieces; ties go to the least doc_id, null first; an empty table gives an empty result; extra columns pass through,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -31,8 +36,8 @@ from pyspark.sql import types as T
 from vettle.llm import words as W
 from vettle.llm.common import fresh, written
 
-RUN, LEAST, WORDS = 3, 60, 12
-SHORT, FAR = LEAST // RUN, 200
+RUN, LEAST, WORDS = 3, 100, 12
+SHORT, FAR = 20, 200
 SPACE = " \t\n\r\x0b\x0c"
 #: Leading space, words that end no sentence (an end may have a quote or bracket or two after it) and no line, one more word.
 SENTENCE = re.compile(
