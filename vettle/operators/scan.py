@@ -28,6 +28,16 @@ def scan_blocks(blocks: DataFrame) -> DataFrame:
     return df.withColumn("found", with_agents(F.col("found"), F.col("clean")))
 
 
+def exploded(df: DataFrame, found: str) -> DataFrame:
+    """`df` with f for each element of the array `found`, which goes.
+
+    The outer form keeps the optimizer from filtering on the array's size: pushed below, such a filter repeats every
+    pattern, each with the cleaning that it reads, in one expression.
+    """
+    rest = [c for c in df.columns if c != found]
+    return df.select(*rest, F.explode_outer(found).alias("f")).filter("f is not null")
+
+
 def claims(sections: DataFrame) -> DataFrame:
     """(file_ord, claims): skills and summary, the text that only claims."""
     body = lambda s: F.coalesce(F.max(F.when(F.col("section") == s, F.col("body"))), F.lit(""))
@@ -36,8 +46,9 @@ def claims(sections: DataFrame) -> DataFrame:
 
 def skill_hits(scanned: DataFrame, claimed: DataFrame) -> DataFrame:
     """(file_ord, name, tier, blocks, in_claims)."""
-    in_blocks = scanned.select("file_ord", F.explode("found").alias("f"), F.col("block_idx").alias("block"))
-    in_claims = claimed.select("file_ord", F.explode(matches(clean(F.col("claims")))).alias("f"), F.lit(None).cast("int").alias("block"))
+    in_blocks = exploded(scanned.select("file_ord", F.col("block_idx").alias("block"), "found"), "found")
+    cleaned = claimed.select("file_ord", F.lit(None).cast("int").alias("block"), clean(F.col("claims")).alias("clean"))
+    in_claims = exploded(cleaned.withColumn("found", matches(F.col("clean"))).drop("clean"), "found")
     return (
         in_blocks.unionByName(in_claims)
         .groupBy("file_ord", F.col("f.name").alias("name"), F.col("f.tier").alias("tier"))

@@ -11,7 +11,7 @@ from vettle.plans import screen as plan
 from vettle.queries import fixtures as X
 from vettle.settings import Settings
 from vettle.sources import sinks
-from vettle.sources.tables import plain_unions
+from vettle.sources.tables import plain_unions, written
 
 #: The queries' stop words, stated so that their SQL can use them too.
 STOP = ("a", "about", "an", "and", "at", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "to", "with")
@@ -100,7 +100,8 @@ def _scanned(spark, sf_dir):
 
 
 def gen_lexicon_scan(spark, sf_dir):
-    return _scanned(spark, sf_dir)[1].select("file_ord", F.col("block_idx").cast("long").alias("block_idx"), F.explode("found").alias("f")).select("file_ord", "block_idx", "f.name", "f.tier")
+    scanned = _scanned(spark, sf_dir)[1].select("file_ord", F.col("block_idx").cast("long").alias("block_idx"), "found")
+    return scan.exploded(scanned, "found").select("file_ord", "block_idx", "f.name", "f.tier")
 
 
 def _hits(spark, sf_dir):
@@ -166,7 +167,9 @@ def tfidf_distinctive(spark, sf_dir):
 
 
 def _sims(spark, sf_dir):
-    p, scanned = _scanned(spark, sf_dir)
+    p = plan.parsed(resumes(spark, sf_dir))
+    p.blocks, p.sections = written(p.blocks, "blocks"), written(p.sections, "sections")
+    scanned = written(scan.scan_blocks(p.blocks), "scanned")
     return p, scanned, *plan.similarities(p, scanned, SETTINGS)
 
 
