@@ -126,10 +126,10 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return written(rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"), "signatures")
 
 
-def grouped(df: DataFrame, keys: list[str], run, schema: str, parts: int | None = None) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], run, schema: str, parts: int | None = None, part: Column | None = None) -> DataFrame:
     """`run(columns, starts)` over whole groups: partitions are dealt and sorted by the keys, batches are cut at groups.
 
-    With `parts`, the one key is a number under it and each number gets a partition of its own.
+    With `parts`, each of so many partitions gets the groups whose `part`, a number under it, is its own.
 
     Spares the cost of a Python call for each of many small groups; no more than one group and a batch are held.
     """
@@ -165,7 +165,7 @@ def grouped(df: DataFrame, keys: list[str], run, schema: str, parts: int | None
             new[1:] |= c[1:] != c[:-1]
         yield from run(t, np.append(np.flatnonzero(new), t.num_rows))
 
-    dealt = df.repartitionById(parts, F.col(keys[0])) if parts else df.repartition(*keys)
+    dealt = df.repartitionById(parts, part) if parts else df.repartition(*keys)
     return dealt.sortWithinPartitions(*keys).mapInArrow(partition, schema)
 
 

@@ -37,8 +37,8 @@ from vettle.llm.common import written
 from vettle.llm.near_dedup import grouped
 
 SLICE, SEGMENT = 6 << 20, 8_000_000
-#: Slices of a segment that one task holds.
-MOST_SLICES = 4096
+#: Slices of a segment that one task holds; segments that a task works on, one after the other.
+MOST_SLICES, TOGETHER = 4096, 4
 BITS, LEAST_PAIR, STRENGTH = 12, 2, 100.0
 END = np.uint64(0x5EED0FE0D0FE0D01)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -269,7 +269,7 @@ def merged(blobs: DataFrame, segments: int, filter_bytes: int | None, kind: str,
 
     schema = SCHEMA.format(kind).rpartition(",")[0]
     if salts == 1:
-        answers = grouped(blobs, ["segment"], run, schema, segments)
+        answers = grouped(blobs, ["segment"], run, schema, -(-segments // TOGETHER), F.floor(F.col("segment") / TOGETHER).cast("int"))
     else:
         dealt = written(blobs, "slice-blobs").withColumn("salt", F.pmod(F.xxhash64("slice"), F.lit(salts)).cast("int"))
         sums = written(tables(tables(dealt, ["segment", "salt"]), ["segment"]), "segment-sums")
