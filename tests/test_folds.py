@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vettle.operators import folds
+from vettle.operators import folds, service
 from vettle.streaming import limits
 
 
@@ -26,7 +26,7 @@ def test_token_bucket():
 def test_sliding_window():
     w = folds.SlidingWindow(100, 5, 60)
     assert [w.call(100)[0] for _ in range(6)] == [True] * 5 + [False]
-    assert w.call(190)[0] and w.former == 5 and w.call(1000)[2] == 4.0
+    assert w.call(190)[0] and w.state[2] == 5 and w.call(1000)[2] == 4.0
 
 
 def test_leaky_bucket():
@@ -89,6 +89,103 @@ def test_segmented_resists_scans():
     assert c.get("hot1", 0) == 1 and c.get("hot2", 0) == 1
 
 
+def test_segmented_parts():
+    """Byte floors, promotion with its size, misses asked of probation only, byte targets, pops and sweeps of both parts."""
+    c = folds.Segmented(10, 2000, 0.01, ttl=50.0)
+    assert [(p.most_items, p.most_size) for p in c.parts] == [(1, 1024), (9, 1024)]
+    c.put("a", 1, 100, 0)
+    assert c.get("a", 0) == 1 and c.parts[1].size == 100 and not c.parts[0].entries
+    c.put("b", 1, 60, 0, 5)
+    assert c.get("zz", 1) is None and c.get("a", 2) == 1
+    assert c.statistics() == {"hits": 2, "misses": 1, "evictions": 0, "expirations": 0, "size": 160, "items": 2}
+    assert c.sweep(6) == 1 and c.pop("a") and not c.pop("a")
+    d = folds.Segmented(10, 10_000, 0.5)
+    for k in range(4):
+        d.put(k, 1, 100, 0)
+    for k in (0, 1):
+        d.get(k, 0)
+    assert d.evict_to(250) == 2 and (d.parts[0].size, d.parts[1].size) == (0, 200)  # 50 for probation, 200 for the rest
+    assert d.get(0, 0) == 1 and d.get(0, 100) == 1
+
+
+def test_sharded(spark):
+    """Limits are shares, operations without a key go to all shards."""
+    assert folds.shard_limits(16, 100, 1 << 20) == (6, 65_536) and folds.shard_limits(16, 8, 100) == (1, 1024)
+    nan = float("nan")
+    rows = [("c", float(i), i, "put", f"k{i}", 10, 5.0 if i % 2 else nan) for i in range(40)] + [("c", 40.0, 40, "evict_to", None, 160, nan), ("c", 99.0, 41, "sweep", None, 0, nan)]
+    ops = spark.createDataFrame(rows, "cache string, ts double, seq long, op string, k string, size long, ttl_s double")
+    log = folds.cache_log(folds.sharded(ops, 4), lambda: folds.Lru(100, math.inf)).collect()
+    shards = {}
+    for r in log:
+        if r.op == "put":
+            shards.setdefault(r.cache, []).append(r.seq)
+    for name, puts in shards.items():
+        evict, sweep = (next(r for r in log if r.cache == name and r.op == op) for op in ("evict_to", "sweep"))
+        assert evict.removed == max(0, len(puts) - 4) and evict.bytes <= 40
+        assert sweep.removed == sum(i % 2 for i in puts[-4:])
+    assert sum(len(p) for p in shards.values()) == 40 and len([r for r in log if r.op == "sweep"]) == 4
+
+
+def test_lru_in_blocks(spark):
+    """Hits by blocks replayed side by side equal one cache's."""
+    rng = random.Random(5)
+    rows = [(float(i // 3), i, f"k{min(rng.randrange(60), rng.randrange(60))}") for i in range(1500)]
+    uses = spark.createDataFrame(rows, "ts double, seq long, k string").repartition(7)
+    cache, want = OrderedDict(), {}
+    for _, i, k in rows:
+        want[i] = k in cache
+        cache.pop(k, None)
+        cache[k] = 1
+        if len(cache) > 12:
+            cache.popitem(last=False)
+    for block in (40, 10_000):
+        assert {r.seq: r.hit for r in folds.lru_hits(uses, 12, block).collect()} == want
+
+
+def test_job_queue():
+    q = service.JobQueue(2)
+    got = [q.step(t, op, 10.0) for t, op in ((0, "submit"), (1, "submit"), (2, "submit"), (3, "submit"), (10, "submit"), (11, "stop"), (50, "submit"))]
+    assert got == [("queued", 0, 10), ("queued", 10, 20), ("queued", 20, 30), ("full", None, None), ("queued", 30, 40), ("stopping", None, None), ("unavailable", None, None)]
+
+
+def test_outbound():
+    nan = float("nan")
+    o = service.Outbound(0.0, 2, 1.0, 2.0)
+    assert [o.step(0.0, 10.0, 200, nan, nan, nan) for _ in range(4)] == [(0.0, 10.0), (0.0, 10.0), (10.0, 20.0), (10.0, 20.0)]
+    p = service.Outbound(0.0, 5, 1.0, 1.0)
+    assert p.step(0.0, 1.0, 200, 30.0, nan, nan) == (0.0, 1.0)  # asks for half a minute when it comes back
+    assert p.step(0.5, 1.0, 200, nan, nan, nan) == (1.0, 2.0)  # before that: only the bucket holds it
+    assert p.step(1.5, 1.0, 200, nan, nan, nan)[0] == 31.0
+    assert [service.pause(100.0, *x) for x in ((429, nan, 0, 110.0), (403, nan, 0, nan), (200, nan, 1, nan), (200, nan, 9, nan), (429, nan, nan, nan))] == [110.5, 105.0, 102.0, -math.inf, -math.inf]
+
+
+def test_retried(spark):
+    rows = [(1, 0, 503, None), (1, 1, None, "bad"), (1, 2, None, "good"), (2, 0, 401, None), (2, 1, None, "good"), (3, 0, None, "good"), (4, 0, 429, None), (4, 1, 500, None), (4, 2, None, "bad"), (4, 3, None, "good"), (5, 0, None, None)]
+    df = spark.createDataFrame(rows, "id long, attempt int, http_status int, answer string")
+    got = {r.id: (r.status, r.attempts, r.answer, r.wait_s) for r in service.retried(df, "id", F.col("answer") == "good").collect()}
+    assert got == {1: ("ok", 3, "good", 3.0), 2: ("failed", 1, None, 0.0), 3: ("ok", 1, "good", 0.0), 4: ("failed", 3, None, 3.0), 5: ("failed", 1, None, 0.0)}
+
+
+def test_handle_cache(spark, tmp_path):
+    now = F.to_timestamp(F.lit("2026-10-08 00:00:00"))
+    assert service.read_handle_cache(spark, f"{tmp_path}/none.json").count() == 0
+    (tmp_path / "bad.json").write_text("{not json")
+    assert service.read_handle_cache(spark, f"{tmp_path}/bad.json").count() == 0
+    (tmp_path / "c.json").write_text('{"Ada": {"at": "2026-10-07T12:00:00+00:00", "repos": [{"name": "x", "fork": false, "topics": ["rag"], "extra": 1}]}, "old": {"at": "2026-10-01T00:00:00+00:00", "repos": []}, "none": {"at": "2026-10-07T23:00:00+00:00", "repos": []}, "odd": {"at": "?", "repos": []}}')
+    cache = service.read_handle_cache(spark, f"{tmp_path}/c.json")
+    assert sorted((r.username, r.name, r.fork) for r in service.cached_repositories(cache, now, 24.0).collect()) == [("ada", "x", False), ("none", None, None)]
+    service.write_handle_cache(cache, f"{tmp_path}/again")
+    assert sorted(map(str, service.read_handle_cache(spark, f"{tmp_path}/again").collect())) == sorted(map(str, cache.collect()))
+
+
+def test_guard_evictions(spark):
+    rows = [("a", f"k{i}", 100, float(i)) for i in range(9)] + [("b", "x", 50, 0.0)]
+    df = spark.createDataFrame(rows, "cache string, k string, size long, used double")
+    gone = {r.k for r in folds.guard_evictions(df, 1000.0).filter("evicted").collect()}
+    assert gone == {"k0", "k1", "k2", "k3", "k4", "k5"}  # to 300 bytes a cache
+    assert not folds.guard_evictions(df, 10_000.0).filter("evicted").count() and folds.guard_evictions(df, 10_000.0, rss_mb=600.0).filter("evicted").count() == 0
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["get", "put", "pop"]), st.integers(0, 11)), max_size=200))
 def test_lru_is_an_ordered_dict(ops):

@@ -71,7 +71,11 @@ def test_reports(report, tmp_path):
     got = json.loads((tmp_path / "r.json").read_text())
     assert got["summary"]["eligible"] == 4 and len(got["ranked_candidates"]) == 4 and "•" not in str(got["failed_files"])
     sinks.write_csv(report.ranked.unionByName(report.rejected, allowMissingColumns=True), f"{tmp_path}/csv")
-    assert "Ada Stone" in sinks.terminal(report.summary.first().asDict(), report.ranked, report.failed)
+    assert "Ada Stone" in sinks.terminal(report.summary, report.ranked, report.failed)
+    page = sinks.terminal(report.summary, report.ranked, report.failed, 2).split("\n")
+    assert page[2] == "" and page[3] == f"{'#':>3} {'Candidate':<24}{'Total':>6}  {'AI':>5}{'Py':>5}{'Cloud':>6}{'GH':>5}{'Eng':>4}  Pen"
+    best = report.ranked.orderBy("rank").first()
+    assert page[4].startswith(f"  1 {best.candidate_name:<24}{best.total_score:>6}  {best.ai_project_depth:>5.1f}") and page[6].startswith("  [failed] bad.pdf: ValueError")
 
 
 def test_folder(spark, tmp_path):
@@ -93,6 +97,35 @@ def test_folder(spark, tmp_path):
     assert (s.total_files, s.duplicates_skipped, s.failed_unreadable, s.eligible, s.rejected) == (7, 1, 2, 2, 2)
     with pytest.raises(FileNotFoundError):
         files.discover(spark, f"{tmp_path}/nowhere")
+    (tmp_path / "_under.txt").write_text(DEEP)
+    (tmp_path / ".git" / "deep [x]").mkdir(parents=True)
+    (tmp_path / ".git" / "deep [x]" / "note.TXT").write_text(THIN)
+    (tmp_path / ".git" / "_void.txt").write_text("")
+    more = {r.path.rpartition(f"{tmp_path.name}/")[2]: bytes(r.content) for r in files.discover(spark, str(tmp_path)).collect()}
+    assert set(more) == {f"sub/{x}" if x == "a.docx" else x for x in rows} | {"_under.txt", ".git/deep [x]/note.TXT", ".git/_void.txt"}
+    assert more["_under.txt"] == DEEP.encode() and more[".git/deep [x]/note.TXT"] == THIN.encode() and more[".git/_void.txt"] == b""
+
+
+def test_pdf_readers(monkeypatch):
+    """Readers in turn: the first that finds text; what the last says if none does; links of all."""
+
+    def reader(pages, error=None):
+        def run(data):
+            yield from pages
+            if error:
+                raise error
+
+        return run
+
+    def tried(*readers):
+        monkeypatch.setattr(files, "PDF_READERS", list(readers))
+        return files.extracted("x.PDF", b"")
+
+    assert tried(reader([("a", ["u"]), ("b", [])]), reader([("c", [])])) == ("a\nb", ["u"], None)
+    assert tried(reader([(" ", ["u"])]), reader([("c", [])])) == ("c", ["u"], None)
+    assert tried(reader([], ImportError("no")), reader([("c", [])])) == ("c", [], None)
+    assert tried(reader([]), reader([("", [])])) == ("", [], None)
+    assert tried(reader([]), reader([], KeyError("k"))) == ("", [], "ValueError: PDF unreadable: KeyError: 'k'")
 
 
 def test_scalars(spark):
@@ -201,9 +234,24 @@ def test_settings(tmp_path):
     assert s.weights.github == 5 and s.accept_classical_ml and s.judge.provider == "openai" and s.weights.python_backend == 30
     with pytest.raises(AttributeError):
         overridden(s, {"nothing": 1})
+    with pytest.raises(AttributeError):
+        overridden(s, {"weights": {"nothing": 1}})
+    (tmp_path / "words").write_text("of the\nand")
+    assert overridden(s, {"stop_words": ["a"], "judge": {}}).stop_words == ("a",)
+    (tmp_path / "t.json").write_text(json.dumps({"stop_words_file": f"{tmp_path}/words"}))
+    assert load(f"{tmp_path}/t.json", {}).stop_words == ("of", "the", "and") and load(None, {}) == Settings()
     assert len(L.SKILLS) == 54 and len({n for n, _, _ in L.SKILLS}) == 54 and len({t for _, _, t in L.SKILLS}) == 17
 
 
+def test_title_and_ascii(spark):
+    """Capitals as Python's title; only texts beyond ASCII take the way through Python."""
+    said = ["o'neil mc-coy", "ÉLAN vital 3d", "a1b c_d", "", "x. y", "ΑΒΓ δε"]
+    df = spark.createDataFrame([(x,) for x in said], "t string")
+    assert [r[0] for r in df.select(T.title(F.col("t"))).collect()] == [x.title() for x in said]
+    odd = spark.createDataFrame([("ﬁne ²",), ("plain",), (None,)], "t string")
+    assert sorted(str(r.t) for r in T.by_ascii(odd, "t", T.nfkc).collect()) == ["None", "fine 2", "plain"]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_sql(spark, name):
     same(QUERIES[name](spark, SMALL), ORACLES[name], SMALL)

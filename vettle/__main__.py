@@ -36,7 +36,7 @@ def main(args: list[str] | None = None) -> int:
     report = screen(files.load(spark, a.input, s.min_chars), s, table(a.lookups), table(a.repos), table(a.judgements))
     sinks.write_json(report.sections(), f"{a.output}/results.json")
     sinks.write_csv(report.ranked.unionByName(report.rejected, allowMissingColumns=True), f"{a.output}/results.csv")
-    print(sinks.terminal(report.summary.first().asDict(), report.ranked, report.failed, a.top))
+    print(sinks.terminal(report.summary, report.ranked, report.failed, a.top))
     return 0
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
 from vettle import lexicon as L
+from vettle.sources.tables import written
 
 STRIP = r"(?U)^\s+|\s+$"
 
@@ -28,23 +29,36 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@pandas_udf(StringType())
-def _title(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else t.title())
-
-
 @pandas_udf(DoubleType())
 def _py_round1(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else round(x, 1))
 
 
+NOT_ASCII = r"[^\x00-\x7F]"
+
+
 def nfkc(c: Column) -> Column:
-    """NFKC; ASCII text, which it leaves alone, doesn't reach Python's result."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)
+    """NFKC, by Python; `by_ascii` spares texts that it leaves alone the way there."""
+    return _nfkc(c)
+
+
+def by_ascii(df: DataFrame, column: str, f) -> DataFrame:
+    """`df` with f(column) where `column` has more than ASCII; other rows stay in the JVM, a branch of their own."""
+    odd = F.coalesce(F.col(column).rlike(NOT_ASCII), F.lit(False))
+    return df.filter(~odd).unionByName(df.filter(odd).withColumn(column, f(F.col(column))))
+
+
+def normalized_rows(df: DataFrame, column: str) -> DataFrame:
+    """`df` with its text column normalised."""
+    # what is read from files can't be read twice at no cost
+    rows = written(df, "read")
+    return by_ascii(rows, column, nfkc).withColumn(column, normalized(F.col(column), unicode_form=False))
 
 
 def title(c: Column) -> Column:
-    return _title(c)
+    """Each run of letters with case begins with a capital and goes on in small letters."""
+    cased = r"\p{Lu}\p{Ll}\p{Lt}"
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"[{cased}]+|[^{cased}]+"), F.lit(0)), F.initcap), "")
 
 
 def py_round1(c: Column) -> Column:
@@ -107,6 +121,7 @@ def trim_ellipsis(c: Column, n: int = 220) -> Column:
 
 
 def clean_title(c: Column) -> Column:
+    # fixed value: what looks like a date at a title's end
     dates = r"(?Ud)\s*\(?\b(?:\d{1,2}/)?(?:19|20)\d{2}\b.*$|\s+\d{1,2}/\S*.*$|\s+[A-Z][a-z]{2,8}\.? ?(?:19|20)\d{2}.*$"
     t = F.regexp_replace(F.regexp_replace(c, dates, ""), r"(?Ud)\s+(?:GitHub|Live Link|Demo)\b.*$", "")
     t = F.regexp_replace(F.get(F.split(t, r"\|", -1), F.lit(0)), "^[ \\-—–|]+|[ \\-—–|]+$", "")

@@ -53,9 +53,10 @@ def bloom_size(capacity: int, fp_rate: float) -> tuple[int, int]:
 
 
 def bloom_positions(item: Column, m: int, k: int) -> Column:
-    """Double hashing: k positions of the item among m bits."""
-    h1, h2 = F.xxhash64(item), F.xxhash64(F.concat(item, F.lit("#"))).bitwiseOR(F.lit(1).cast("long"))
-    return F.array(*(F.pmod(h1 + i * F.pmod(h2, F.lit(m).cast("long")), F.lit(m).cast("long")) for i in range(k)))
+    """Double hashing: k positions of the item among m bits, from two parts of its digest."""
+    part = lambda i: F.conv(F.substring(F.md5(item.cast("string")), i, 15), 16, 10).cast("long")
+    h1, h2 = F.pmod(part(1), F.lit(m).cast("long")), F.pmod(part(17).bitwiseOR(F.lit(1).cast("long")), F.lit(m).cast("long"))
+    return F.array(*(F.pmod(h1 + i * h2, F.lit(m).cast("long")) for i in range(k)))
 
 
 def bloom_filter(items: DataFrame, column: str, m: int, k: int) -> DataFrame:

@@ -90,3 +90,19 @@ from (select distinct 'user' || cast(c_custkey % 400 as varchar(10)) as username
 NOW = "1998-08-02 00:00:00"
 CALLS_SPARK = "select cast(user_id as string) as key, timestampdiff(microsecond, timestamp_ntz'1970-01-01 00:00:00', ts) / 1000000.0D as ts, event_id as seq, 1.0D + event_id % 3 as cost, event_type, value from events"
 CALLS_DUCK = "select cast(user_id as varchar) as key, epoch_us(ts) / 1000000.0::double as ts, event_id as seq, (1 + event_id % 3)::double as cost, event_type, value from events"
+#: Tries of a model's service, a few for each customer: an HTTP error, or an answer that is good or bad.
+ATTEMPTS = " union all ".join(
+    f"select c_custkey as file_ord, {i} as attempt, case (c_custkey * 7 + {i * 3}) % 6 when 0 then 503 when 1 then 401 when 2 then 429 end as http_status, case when (c_custkey + {i}) % 3 = 0 then 'good{i}' else 'bad' end as answer from customer"
+    for i in range(4)
+)
+#: A text a nation, long enough to be read, with letters that normalisation changes in some.
+PAGES = """
+select n_nationkey as n, 'Notes on ' || n_name || chr(10) || case when n_nationkey % 3 = 0 then 'ﬁne ² Ａｂ ①' else 'plain words' end || ' of region ' || cast(n_regionkey as varchar(10)) || ', written down at some length by hand over years' || case when n_nationkey % 5 = 0 then '' else ' and more' end as text
+from nation
+"""
+#: What normalisation makes of it, by the letters that occur.
+PAGE_LETTERS = {"ﬁ": "fi", "²": "2", "Ａ": "A", "ｂ": "b", "①": "1"}
+#: A cache of handles: entries of different age, every third without repositories.
+HANDLES = """
+select 'User' || cast(c_custkey as varchar(10)) as username, c_custkey % 40 as hours, case when c_custkey % 3 = 0 then 0 else 1 end as has from customer
+"""

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vettle.operators import dedup, folds
+from vettle.operators import dedup, folds, service
 from vettle.queries import fixtures as X
 
 
@@ -58,8 +58,7 @@ def _ops(spark, sf_dir) -> DataFrame:
 
 
 def cache_lru_stackdist(spark, sf_dir):
-    log = folds.cache_log(_ops(spark, sf_dir), lambda: folds.Lru(100, math.inf), load=True)
-    return log.select("seq", "k", "hit")
+    return folds.lru_hits(_ops(spark, sf_dir), 100)
 
 
 def cache_lru_ttl(spark, sf_dir):
@@ -68,11 +67,13 @@ def cache_lru_ttl(spark, sf_dir):
 
 
 def cache_slru(spark, sf_dir):
-    return folds.cache_log(_ops(spark, sf_dir), lambda: folds.Segmented(100), load=True).select("seq", "k", "hit", "items")
+    by_type = calls(spark, sf_dir).select("ts", "seq", F.col("event_type").alias("cache"), F.lit("get").alias("op"), F.col("key").alias("k"), F.lit(1).cast("long").alias("size"), F.lit(float("nan")).alias("ttl_s"))
+    return folds.cache_log(by_type, lambda: folds.Segmented(20, math.inf), load=True).select("seq", "k", "hit", "items")
 
 
 def cache_sharded(spark, sf_dir):
-    log = folds.cache_log(folds.sharded(_ops(spark, sf_dir)), lambda: folds.Lru(8, math.inf), load=True)
+    items, _ = folds.shard_limits(16, 64, 1 << 30)
+    log = folds.cache_log(folds.sharded(_ops(spark, sf_dir)), lambda: folds.Lru(items, math.inf), load=True)
     return log.select("cache", "seq", "hit")
 
 
@@ -99,10 +100,34 @@ def mem_guard(spark, sf_dir):
     return folds.guard_targets(usage, 1000.0).withColumn("evict_to", F.coalesce("evict_to", F.lit(-1)))
 
 
+def guard_replay(spark, sf_dir):
+    last = calls(spark, sf_dir).groupBy(F.col("event_type").alias("cache"), F.col("key").alias("k")).agg(F.max("ts").alias("used"), F.count("*").alias("size"))
+    return folds.guard_evictions(last, 2000.0).select("cache", "k", "evicted")
+
+
+def llm_retry(spark, sf_dir):
+    tries = spark.sql(X.ATTEMPTS.replace("from customer", "from {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    out = service.retried(tries, "file_ord", F.col("answer").startswith("good"))
+    return out.select("file_ord", "status", F.col("attempts").cast("long").alias("attempts"), "answer", "wait_s")
+
+
+def job_queue(spark, sf_dir):
+    stop = (F.col("event_type") == "signup") & (F.col("seq") % 401 == 0)
+    requests = calls(spark, sf_dir).select(F.col("event_type").alias("service"), "ts", "seq", F.when(stop, "stop").otherwise("submit").alias("op"), (F.col("value") * 30).alias("run_s"))
+    out = service.job_queue(requests, 3)
+    return out.select("service", "seq", "status", F.round("started", 3).alias("started"), F.round("completed", 3).alias("completed"))
+
+
+def rl_outbound(spark, sf_dir):
+    r = calls(spark, sf_dir).select(F.col("event_type").alias("key"), (F.col("ts") / 1000).alias("ts"), "seq", (F.col("value") / 10).alias("run_s"), F.when(F.col("seq") % 9 == 0, 429).otherwise(200).alias("status"), F.when(F.col("seq") % 31 == 0, F.col("value")).otherwise(F.lit(float("nan"))).alias("retry_after"), (F.col("seq") % 5).cast("double").alias("remaining"), F.lit(float("nan")).alias("reset"))
+    out = service.outbound(r, 3, 0.5, 2.0)
+    return out.select("key", "seq", F.round("started", 3).alias("started"), F.round("ended", 3).alias("ended"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         rl_token_bucket, rl_keyed, rl_keyed_bounded, rl_sliding_window, rl_leaky_bucket, rl_pause_until, http_rate_limit, cache_lru_stackdist, cache_lru_ttl, cache_slru, cache_sharded,
-        agg_cache_stats, metrics_rollup, single_flight, win_first_seen, mem_guard,
+        agg_cache_stats, metrics_rollup, single_flight, win_first_seen, mem_guard, guard_replay, llm_retry, job_queue, rl_outbound,
     )
 }

@@ -358,6 +358,81 @@ with a as (select 'c' || (key::bigint % 4) as cache, key, seq, row_number() over
 l as (select cache, x.was is not null and (select count(*) from b y where y.cache = x.cache and y.p > x.was and y.p < x.p and (y.next_ is null or y.next_ > x.p)) < 20 as hit from b x)
 select cache, count(*) filter (hit) as hits, count(*) filter (not hit) as misses, round(count(*) filter (hit) / count(*), 4)::double as hit_ratio from l group by rollup (cache)"""
 
+#: Token buckets that a bounded cache of the 50 keys used last keeps: a key that left it begins anew.
+BOUNDED = f"""
+with a as (select *, row_number() over (order by ts, seq) as p from ({X.CALLS_DUCK})), b as (select *, lag(p) over (partition by key order by p) as was, lead(p) over (partition by key order by p) as next_ from a),
+s as (select x.*, case when x.was is null or (select count(*) from b y where y.p > x.was and y.p < x.p and (y.next_ is null or y.next_ > x.p)) >= 50 then 1 else 0 end as anew from b x)
+select key || '#' || sum(anew) over (partition by key order by p) as key, ts, seq, cost from s"""
+SHARDED = f"""
+with a as (select 'all/' || (('0x' || substr(md5(key), 1, 8))::bigint % 16) as cache, key, seq, row_number() over (order by ts, seq) as p from ({X.CALLS_DUCK})), b as (select *, lag(p) over (partition by key order by p) as was, lead(p) over (partition by key order by p) as next_ from a)
+select cache, seq, x.was is not null and (select count(*) from b y where y.cache = x.cache and y.p > x.was and y.p < x.p and (y.next_ is null or y.next_ > x.p)) < 4 as hit from b x"""
+#: Lists have the key used last at their end: 4 keys on probation, 16 protected.
+SEGMENTED = f"""
+with recursive k as (select event_type as cache, key, seq, row_number() over (partition by event_type order by ts, seq) as i from ({X.CALLS_DUCK})),
+f as (
+  select cache, i, seq, key, false as hit, [key] as low, []::varchar[] as high from k where i = 1
+  union all
+  select k.cache, k.i, k.seq, k.key, list_contains(f.low, k.key) or list_contains(f.high, k.key),
+    case when list_contains(f.high, k.key) then f.low when list_contains(f.low, k.key) then list_filter(f.low, lambda x: x <> k.key) else list_append(f.low, k.key)[-4:] end,
+    case when list_contains(f.high, k.key) or list_contains(f.low, k.key) then list_append(list_filter(f.high, lambda x: x <> k.key), k.key)[-16:] else f.high end
+  from f join k on k.cache = f.cache and k.i = f.i + 1)
+select seq, key as k, hit, len(low) + len(high) as items from f"""
+QUEUE = f"""
+with recursive r as (
+  select event_type as service, ts, seq, event_type = 'signup' and seq % 401 = 0 as stops, value * 30 as run_s, row_number() over (partition by event_type order by ts, seq) as i from ({X.CALLS_DUCK})),
+f as (
+  select service, 0::bigint as i, 0::bigint as seq, '' as status, null::double as started, null::double as completed, []::double[] as starts, -1e300::double as free, true as open from (select distinct service from r)
+  union all
+  select service, i, seq, status, case when status = 'queued' then begins end, case when status = 'queued' then begins + run_s end, case when status = 'queued' and begins > ts then list_append(starts, begins) else starts end,
+    case when status = 'queued' then begins + run_s else free end, open and not stops
+  from (
+    select *, case when stops then 'stopping' when not open then 'unavailable' when len(starts) >= 3 then 'full' else 'queued' end as status from (
+      select r.*, list_filter(f.starts, lambda x: x > r.ts) as starts, f.free, f.open, greatest(r.ts, f.free) as begins from f join r on r.service = f.service and r.i = f.i + 1)))
+select service, seq, status, round(started, 3)::double as started, round(completed, 3)::double as completed from f where i > 0"""
+#: Three calls at once, a burst of two and one each two seconds; pauses count from when their response came.
+OUTBOUND = f"""
+with recursive r as (
+  select event_type as key, ts / 1000 as ts, seq, value / 10 as run_s, seq % 9 = 0 as refused, case when seq % 31 = 0 then value end as retry_after, seq % 5 as remaining,
+    row_number() over (partition by event_type order by ts, seq) as i from ({X.CALLS_DUCK})),
+f as (
+  select key, 0::bigint as i, 0::bigint as seq, 0::double as started, 0::double as ended, []::double[] as ends, []::struct(t double, until double)[] as told, -1e300::double as turn, -1e300::double as paused, 2.0::double as tokens, (select min(ts) from r y where y.key = x.key)::double as last from (select distinct key from r) x
+  union all
+  select key, i, seq, started, started + run_s, list_sort(list_append(ends, started + run_s)),
+    list_append(told, {{'t': started + run_s, 'until': case when retry_after is not null then started + run_s + retry_after when refused and remaining = 0 then started + run_s + 5 when remaining <= 1 then started + run_s + 2 else -1e300 end}}),
+    turn, paused, tokens, now
+  from (
+    select *, case when have >= 1 then now else now + (1 - have) / 0.5 end as started, have - case when have >= 1 then 1 else 0 end as tokens, list_filter(all_told, lambda x: x.t > now) as told,
+      greatest(was_paused, coalesce(list_max(list_transform(list_filter(all_told, lambda x: x.t <= now), lambda x: x.until)), -1e300)) as paused
+    from (
+      select *, least(2.0, had + greatest(0, now - was) * 0.5)::double as have from (
+        select *, list_reduce(list_sort(all_told), lambda acc, x: case when x.t <= acc.t then {{'t': greatest(acc.t, x.until), 'until': acc.until}} else acc end, {{'t': greatest(turn, was_paused), 'until': 0::double}}).t as now from (
+          select r.key, r.i, r.seq, r.run_s, r.refused, r.retry_after, r.remaining, f.told as all_told, f.paused as was_paused, f.tokens as had, f.last as was,
+            case when len(f.ends) >= 3 then f.ends[2:] else f.ends end as ends, greatest(r.ts, f.turn, case when len(f.ends) >= 3 then f.ends[1] else r.ts end) as turn
+          from f join r on r.key = f.key and r.i = f.i + 1)))))
+select key, seq, round(started, 3)::double as started, round(ended, 3)::double as ended from f where i > 0"""
+RETRIED = f"""
+with t as (select *, http_status is null and answer like 'good%' as good from ({X.ATTEMPTS}) where attempt <= 2),
+e as (select file_ord, min(attempt) filter (good or (http_status is not null and http_status not in (429, 500, 502, 503, 529))) as ended from t group by 1)
+select e.file_ord, case when good then 'ok' else 'failed' end as status, (coalesce(ended, 2) + 1)::bigint as attempts, case when good then answer end as answer, case coalesce(ended, 2) when 0 then 0 when 1 then 1 else 3 end::double as wait_s
+from e left join t on t.file_ord = e.file_ord and t.attempt = e.ended"""
+GUARD = f"""
+with e as (select event_type as cache, key as k, max(ts) as used, count(*) as size from ({X.CALLS_DUCK}) group by 1, 2),
+u as (select *, sum(size) over () > 1600 as over_, (select count(distinct cache) from e) as n from e)
+select cache, k, over_ and sum(size) over (partition by cache order by used desc, k desc rows unbounded preceding) > floor(1200.0 / n) as evicted from u"""
+BLOOM = """
+with owners as (select distinct o_custkey::varchar as h from orders), n as (select greatest(1, count(*)) as n from owners),
+s as (select greatest(8, cast(trunc(-n * ln(0.05) / (ln(2) * ln(2))) as bigint)) as m, n from n), size as (select m, greatest(1, cast(round_even(m / n * ln(2), 0) as bigint)) as k from s),
+placed as (select h, unnest(list_transform(range(0, k), lambda i: ((('0x' || substr(md5(h), 1, 15))::bigint % m) + i * ((('0x' || substr(md5(h), 17, 15))::bigint | 1) % m)) % m)) as p
+  from (select h from owners union select c_custkey::varchar from customer), size),
+filled as (select distinct p from placed where h in (select h from owners))
+select c_custkey, bool_and(p in (select p from filled)) as maybe from customer join placed on h = c_custkey::varchar group by 1"""
+_PAGE = "text"
+for _odd, _plain in X.PAGE_LETTERS.items():
+    _PAGE = f"replace({_PAGE}, '{_odd}', '{_plain}')"
+FOLDER = f"select *, row_number() over (order by 'n=' || n) as file_ord from (select n::bigint as n, {_PAGE} as text from ({X.PAGES}))"
+HANDLE_CACHE = f"""
+select lower(username) as username, case when has = 1 then lower(username) || '-tool' end as name, case when has = 1 then 'Python' end as language, case when has = 1 then epoch(timestamp '1998-07-01')::bigint end as pushed from ({X.HANDLES}) where hours < 24"""
+
 ORACLES: dict[str, str] = {
     "norm_space": digest(r"regexp_replace(text, '[ \t\x{A0}]+', ' ', 'g')"),
     "norm_ctrl": digest(r"regexp_replace(text, '[\x{E000}-\x{F8FF}\x00-\x08\x0B-\x1F\x7F-\x9F\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]', '', 'g')"),
@@ -389,7 +464,7 @@ ORACLES: dict[str, str] = {
     "gate": chain("select file_ord, python_level, ai_level, len(reasons) = 0 as eligible, array_to_string(terms, ',') as ai_terms, array_to_string(matched, ',') as matched_skills, array_to_string(reasons, ',') as reasons from gate"),
     "tfidf_df": chain("select * from df"),
     "tfidf_weight": chain(f"select file_ord, block_idx, term, round(w, 9) as w from ({weighed('blocks', 'file_ord, block_idx')})"),
-    "tfidf_distinctive": chain(f"select file_ord, block_idx, least(8, count(*)) as n from ({weighed('blocks', 'file_ord, block_idx')}) group by 1, 2"),
+    "tfidf_distinctive": chain(f"select file_ord, block_idx, array_to_string((list(term order by w desc, term desc))[1:8], ',') as terms from ({weighed('blocks', 'file_ord, block_idx')}) group by 1, 2"),
     "tfidf_cosine": chain("select * from sims"),
     "tfidf_jd": chain("select * from jd"),
     "score_block": chain("select file_ord, block_idx, array_to_string(dims, ',') as dims, round(score, 5) as score from ai_blocks"),
@@ -410,6 +485,20 @@ ORACLES: dict[str, str] = {
         (select count(*) from totals where eligible and llm_status like 'ok%') as llm_ok, (select count(*) from totals where eligible and llm_status = 'failed') as llm_failed, (select count(*) from totals where not eligible) as rejected""", kept=True),
     "rl_token_bucket": token(4.0, 0.0001, None),
     "rl_keyed": token(2.0, 0.00001, 86400.0),
+    "rl_keyed_bounded": f"select split_part(key, '#', 1) as key, seq, allowed, retry_after_s, remaining from ({token(2.0, 0.00001, 86400.0, BOUNDED)})",
+    "rl_outbound": OUTBOUND,
+    "job_queue": QUEUE,
+    "llm_retry": RETRIED,
+    "guard_replay": GUARD,
+    "cache_slru": SEGMENTED,
+    "cache_sharded": SHARDED,
+    "bloom_membership": BLOOM,
+    "norm_nfkc": f"select n::bigint as n, {_PAGE} as text from ({X.PAGES})",
+    "parse_ts": "select o_orderkey, case o_orderkey % 3 when 0 then epoch(o_orderdate::timestamp) + 37230 when 1 then epoch(o_orderdate::timestamp) + 30030 end::bigint as at from orders",
+    "scan_text": f"select file_ord, n, case when length(text) >= 100 then text else '' end as text, case when length(text) < 100 then 'No extractable text (scanned image or empty file?)' end as error from ({FOLDER})",
+    "scan_discover": f"select n::bigint as n, strlen(text) + 1 as bytes, 'txt' as suffix from ({X.PAGES})",
+    "scan_github_cache": HANDLE_CACHE,
+    "sink_cache": f"select o_orderkey from orders where o_orderdate > timestamp '{X.NOW}' - interval 87600 hours",
     "rl_sliding_window": SLIDING,
     "rl_leaky_bucket": LEAKY,
     "rl_pause_until": PAUSE,
@@ -422,3 +511,8 @@ ORACLES: dict[str, str] = {
     "win_first_seen": "select user_id, arg_min(event_type, event_id) as first from events group by 1",
     "mem_guard": "select event_type as cache, count(*) as bytes, case when sum(count(*)) over () > 800 then floor(600.0 / count(*) over ())::bigint else -1 end as evict_to from events group by 1",
 }
+ORACLES |= {"sink_csv": ORACLES["report_rows"], "sink_json": ORACLES["win_rank"]}
+ORACLES["sink_terminal"] = f"""
+with s as ({ORACLES["agg_summary"]})
+select 0 as at, 'Batch: ' || total_files || ' files | parsed ' || parsed_ok || ' | eligible ' || eligible || ' | rejected ' || rejected || ' | failed ' || failed_unreadable || ' | duplicates ' || duplicates_skipped as line from s
+union all select 1, 'GitHub ok/failed: ' || github_ok || '/' || github_failed || ' | LLM ok/failed: ' || llm_ok || '/' || llm_failed from s"""

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vettle.functions import text as T
-from vettle.operators import dedup, enrich, parse, rank, scan, score, tfidf
+from vettle.operators import dedup, enrich, parse, rank, scan, score, service, tfidf
 from vettle.plans import screen as plan
 from vettle.queries import fixtures as X
 from vettle.settings import Settings
-from vettle.sources import sinks
-from vettle.sources.tables import plain_unions, written
+from vettle.sources import files, sinks
+from vettle.sources.tables import plain_unions, shared_dir, written
 
 #: The queries' stop words, stated so that their SQL can use them too.
 STOP = ("a", "about", "an", "and", "at", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "to", "with")
@@ -163,7 +165,7 @@ def tfidf_distinctive(spark, sf_dir):
     corpus = _corpus(spark, sf_dir)
     counts = tfidf.term_counts(p.blocks, ["file_ord", "block_idx"], STOP)
     d = tfidf.distinctive(counts, tfidf.document_frequencies(corpus, STOP), corpus.count(), ["file_ord", "block_idx"])
-    return d.select("file_ord", F.col("block_idx").cast("long").alias("block_idx"), F.size("terms").cast("long").alias("n"))
+    return d.select("file_ord", F.col("block_idx").cast("long").alias("block_idx"), F.array_join("terms", ",").alias("terms"))
 
 
 def _sims(spark, sf_dir):
@@ -255,10 +257,86 @@ def agg_summary(spark, sf_dir):
 
 
 def bloom_membership(spark, sf_dir):
-    m, k = dedup.bloom_size(10_000, 0.001)
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("h"))
-    filter_ = dedup.bloom_filter(docs.filter(F.col("doc_id") % 2 == 0), "h", m, k)
-    return dedup.bloom_contains(docs, "h", filter_, m, k, "doc_id")
+    """Customers that may have orders: every order fills the filter, every customer asks."""
+    owners = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("h")).distinct()
+    m, k = dedup.bloom_size(max(1, owners.count()), 0.05)
+    asked = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("h"))
+    return dedup.bloom_contains(asked, "h", dedup.bloom_filter(owners, "h", m, k), m, k, "c_custkey")
+
+
+def _pages(spark, sf_dir):
+    return sql(spark, sf_dir, X.PAGES, "nation")
+
+
+def norm_nfkc(spark, sf_dir):
+    return T.normalized_rows(_pages(spark, sf_dir), "text").select(F.col("n").cast("long").alias("n"), "text")
+
+
+def parse_ts(spark, sf_dir):
+    said = F.concat(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd"), F.when(F.col("o_orderkey") % 3 == 0, "T10:20:30Z").when(F.col("o_orderkey") % 3 == 1, "T10:20:30+02:00").otherwise(" nonsense"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.unix_timestamp(T.timestamp_iso(said)).alias("at"))
+
+
+def _folder(spark, sf_dir):
+    """The pages as files of a folder, each in a folder of its own."""
+    at = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    _pages(spark, sf_dir).repartition("n").write.partitionBy("n").option("lineSep", "\n").text(at)
+    # the writer's names are unlike on every run
+    return at
+
+
+def scan_text(spark, sf_dir):
+    rows = files.load(spark, _folder(spark, sf_dir), 100)
+    return rows.select("file_ord", F.regexp_extract("path", "/n=([0-9]+)/", 1).cast("long").alias("n"), "text", "error")
+
+
+def scan_discover(spark, sf_dir):
+    found = files.discover(spark, _folder(spark, sf_dir))
+    return found.select(F.regexp_extract("path", "/n=([0-9]+)/", 1).cast("long").alias("n"), F.octet_length("content").cast("long").alias("bytes"), F.lower(F.regexp_extract("file", r"\.([^.]+)$", 1)).alias("suffix"))
+
+
+def scan_github_cache(spark, sf_dir):
+    """A JSON cache written, read again, and asked for entries of the last 24 hours."""
+    at = f"{shared_dir(spark)}/handles-{uuid.uuid4().hex}"
+    now = F.to_timestamp(F.lit(X.NOW))
+    repo = F.struct(F.concat(F.lower("username"), F.lit("-tool")).alias("name"), F.lit(False).alias("fork"), F.lit(False).alias("archived"), F.lit("1998-07-01T00:00:00Z").alias("pushed_at"), F.lit("Python").alias("language"), F.array(F.lit("rag")).alias("topics"), F.lit(None).cast("string").alias("description"), F.lit(3).alias("stargazers_count"))
+    entries = sql(spark, sf_dir, X.HANDLES, "customer").select("username", (now - F.make_dt_interval(hours=F.col("hours"))).alias("at"), F.when(F.col("has") == 1, F.array(repo)).otherwise(F.array().cast(f"array<{service.REPOSITORY}>")).alias("repos"))
+    service.write_handle_cache(entries, at)
+    found = service.cached_repositories(service.read_handle_cache(spark, at), now, 24.0)
+    return found.select("username", "name", "language", F.unix_timestamp("pushed_at").alias("pushed"))
+
+
+def _written_report(spark, sf_dir):
+    r = _report(spark, sf_dir)
+    return r, f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+
+
+def sink_csv(spark, sf_dir):
+    r, at = _written_report(spark, sf_dir)
+    sinks.write_csv(r.ranked.unionByName(r.rejected, allowMissingColumns=True), at)
+    rows = spark.read.csv(at, header=True)
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return rows.select("file", F.col("eligible").cast("boolean").alias("eligible"), F.col("total_score").cast("double").alias("total_score"), text("penalties"), "github_status", text("rejection_reasons"))
+
+
+def sink_json(spark, sf_dir):
+    r, at = _written_report(spark, sf_dir)
+    sinks.write_sections(r.sections(), at)
+    return spark.read.json(f"{at}/ranked_candidates").select("file", "candidate_name", F.round("total_score", 1).alias("total_score"), F.round("ai_project_depth", 1).alias("ai"), "llm_status", "rank")
+
+
+def sink_terminal(spark, sf_dir):
+    """The lines of counts; the head is fixed, and the best are as `limit_top` has them."""
+    r = _report(spark, sf_dir)
+    return sinks.report_lines(r.summary, r.ranked, r.failed, 10).filter("part = 0 and at < 2").select(F.col("at").cast("long").alias("at"), "line")
+
+
+def sink_cache(spark, sf_dir):
+    at = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    for hours in (8760.0, 87600.0):  # the second replaces the first as a whole
+        cache = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+        sinks.write_cache(enrich.valid_cache(cache, F.to_timestamp(F.lit(X.NOW)), hours), at)
+    return spark.read.parquet(at).select("o_orderkey")
 
 
 QUERIES = {
@@ -269,6 +347,6 @@ QUERIES = {
     for f in (
         ext_email, ext_name, ext_github, hash_fingerprint, flt_min_chars, trim_ellipsis, json_extract, dedup_hash, dedup_first_wins, gen_sections, gen_blocks, gen_lexicon_scan, flt_tier, clean_title, win_top3_blocks, scan_github_ttl, agg_hits, gate,
         tfidf_df, tfidf_weight, tfidf_distinctive, tfidf_cosine, tfidf_jd, score_block, win_best_bullets, score_categories, pen_all, explain, agg_github, join_github_left, verify_evidence, win_rank,
-        report_rows, limit_top, agg_summary, bloom_membership,
+        report_rows, limit_top, agg_summary, bloom_membership, norm_nfkc, parse_ts, scan_text, scan_discover, scan_github_cache, sink_csv, sink_json, sink_terminal, sink_cache,
     )
 }
