@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _DIRS.setdefault("base", tempfile.mkdtemp(prefix="vettle-"))
+        base = _DIRS["base"] = _DIRS.get("base") or tempfile.mkdtemp(prefix="vettle-")
     path = f"{base.rstrip('/')}/vettle-{spark.sparkContext.applicationId}"
     if path not in _DIRS:
         _DIRS[path] = path
