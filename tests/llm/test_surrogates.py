@@ -85,7 +85,7 @@ def test_small_table(spark):
 
 def test_one_person_with_and_without_titles(spark):
     """A name is one entity across titles and where it has none; other capitalised words stay."""
-    rows = [(1, "Dr. Anna Berg met Ms. Anna Berg. Anna Berg slept."), (2, "Yesterday Anna Berg And Carl Holm Came Home. ANNA"), (3, "Carl Holm is untitled here"), (4, "Prof. Carl Holm. Κυρία Ελένη Παππά, then Ελένη Παππά"), (5, "Berg Anna, no one known")]
+    rows = [(1, "Dr. Anna Berg met Ms. Anna Berg. Anna Berg slept."), (2, "Yesterday Anna Berg And Carl Holm Came Home. ANNA"), (3, "Carl Holm is untitled here"), (4, "Prof. Carl Holm. Κυρία Ελένη Παππά, then Ελένη Παππά"), (5, "Berg Anna, no one known"), (6, "Mr. Jonas Wolf Mrs. Clara Wolf and Frau Dr. Ida Lund")]
     got = {i: (t, n, k) for i, t, n, k in replaced(spark, rows)}
     a = re.fullmatch(r"Dr\. (\S+ \S+) met Ms\. (\S+ \S+)\. (\S+ \S+) slept\.", got[1][0])
     assert a[1] == a[2] == a[3] and a[1].split()[0] in surrogates.GIVEN["fL"] and got[1][1:] == (3, "name")
@@ -94,6 +94,8 @@ def test_one_person_with_and_without_titles(spark):
     g = re.fullmatch(r"Prof\. (\S+ \S+)\. Κυρία (\S+ \S+), then (\S+ \S+)", got[4][0])
     assert g[1] == b[2] and g[2] == g[3] != "Ελένη Παππά" and g[2].split()[0] in surrogates.GIVEN["fG"]
     assert got[5] == ("Berg Anna, no one known", 0, "")
+    w = re.fullmatch(r"Mr\. (\S+) (\S+) Mrs\. (\S+) (\S+) and Frau Dr\. (\S+) (\S+)", got[6][0])
+    assert w[1] in surrogates.GIVEN["mL"] and w[3] in surrogates.GIVEN["fL"] and got[6][1] == 3 and "Lund" not in got[6][0]
 
 
 def mod97(s):

@@ -58,7 +58,7 @@ ENTITIES = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9A-Za-z])",
-    "name": rf"(?<=\b(?:{TITLES})\.? ){_NAME}(?: {_NAME}){{0,2}}",
+    "name": rf"(?<=\b(?:{TITLES})\.? )(?!(?:{TITLES})\b){_NAME}(?: (?!(?:{TITLES})\b){_NAME}){{0,2}}",
 }
 #: Two to eight capitalised words, none of them a title: a full name may be among them.
 UNTITLED = rf"(?<![\p{{L}}\p{{N}}'’-])(?!(?:{TITLES})\b){_NAME}(?: (?!(?:{TITLES})\b){_NAME}){{1,7}}"
