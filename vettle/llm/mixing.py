@@ -150,29 +150,36 @@ def copies(place_: Column, draw: Column, doc_id: Column, p: dict[str, str] | Non
     return c("epochs") + F.coalesce(whole | (place_ < c("cut_place")) | at_cut, F.lit(False)).cast("long")
 
 
-def draws_of(docs: DataFrame, labels: DataFrame | None, text: str, key: str, source: str, seed: str) -> tuple[DataFrame, dict]:
-    """((doc_id, source, size, draw, place), written, the quality model): one pass over the texts."""
-    narrow = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), *(c.alias(n) for n, c in figures(text).items()))
-    narrow = written(narrow, "mix-figures")
-    model = quality_model(narrow, labels)
-    draw = es_key(F.col("doc_id"), weight(model, {f"f_{f}": F.col(f"f_{f}") for f in FIGURES}), seed)
-    return written(narrow.withColumn("draw", draw).select("doc_id", "source", "size", "draw", place(F.col("draw")).alias("place")), "mix-draws"), model
+def drawn(rows: DataFrame, model: dict, key: str, seed: str, name: dict[str, str]) -> Column:
+    """The E-S key of each of `rows`, which have the figures under the names in `name`."""
+    return es_key(F.col(key), weight(model, {f"f_{f}": F.col(name[f"f_{f}"]) for f in FIGURES}), seed)
+
+
+def draws_of(rows: DataFrame, labels: DataFrame | None, key: str, source: str, seed: str, name: dict[str, str]) -> tuple[DataFrame, dict]:
+    """((doc_id, source, size, draw, place), written, the quality model) of written rows with figures; no text is read."""
+    model = quality_model(rows.select(F.col(key).alias("doc_id"), *(F.col(name[f"f_{f}"]).alias(f"f_{f}") for f in FIGURES)), labels)
+    narrow = rows.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(name["size"]).alias("size"), drawn(rows, model, key, seed, name).alias("draw"))
+    return written(narrow.withColumn("place", place(F.col("draw"))), "mix-draws"), model
 
 
 def mix_table(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = "mix", **how) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of every document; no text is kept."""
-    draws, _ = draws_of(docs, labels, text, key, source, seed)
+    counted = figures(text)
+    rows = written(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), *(c.alias(n) for n, c in counted.items())), "mix-figures")
+    draws, _ = draws_of(rows, labels, "doc_id", "source", seed, {n: n for n in counted})
     met = sized_join(draws, plan(draws, **how), same_source("source", "s"), "left")
     return met.select("doc_id", "source", "size", "source_size", "target", copies(F.col("place"), F.col("draw"), F.col("doc_id")).alias("copies"))
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = "mix", **how) -> DataFrame:
-    """The mix itself: the rows of `docs`, each as often as it is taken. Texts do not move: each row draws its key again."""
-    draws, model = draws_of(docs, labels, text, key, source, seed)
+    """The mix itself: the rows of `docs`, each as often as it is taken. Texts are written once with their figures, and never shuffled."""
+    counted = figures(text)
+    name = fresh(docs, *counted, "draw", "copy")
+    rows = written(docs.withColumns({name[n]: c for n, c in counted.items()}), "mix-rows")
+    draws, model = draws_of(rows, labels, key, source, seed, name)
     p = plan(draws, **how)
-    clash = fresh(docs, *p.columns, *(f"f_{f}" for f in FIGURES), "draw", "copy")
-    rows = docs.withColumns({clash[n]: c for n, c in figures(text).items() if n != "size"})
-    rows = rows.withColumn(clash["draw"], es_key(F.col(key), weight(model, {f"f_{f}": F.col(clash[f"f_{f}"]) for f in FIGURES}), seed))
+    clash = fresh(rows, *p.columns)
+    rows = rows.withColumn(name["draw"], drawn(rows, model, key, seed, name))
     met = sized_join(rows, p.select(*(F.col(c).alias(clash[c]) for c in p.columns)), same_source(source, clash["s"]))
-    taken = copies(place(F.col(clash["draw"])), F.col(clash["draw"]), F.col(key), clash)
-    return met.withColumn(clash["copy"], F.explode(F.array_repeat(F.lit(1), taken.cast("int")))).select(*docs.columns)
+    taken = copies(place(F.col(name["draw"])), F.col(name["draw"]), F.col(key), clash)
+    return met.withColumn(name["copy"], F.explode(F.array_repeat(F.lit(1), taken.cast("int")))).select(*docs.columns)
