@@ -31,6 +31,19 @@ def test_odd_rows_against_sql(spark, odd_dir, name):
     same(QUERIES[name](spark, odd_dir), ORACLES[name], odd_dir)
 
 
+@pytest.mark.parametrize("name", ["op7_mixing", "op9_quality_rules", "op10_exact_dedup"])
+def test_without_broadcasts(spark, name, monkeypatch):
+    """What a larger corpus does: every join is shuffled."""
+    from vettle.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        same(QUERIES[name](spark, SMALL), ORACLES[name], SMALL)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_table(spark, empty_dir, name):
     assert QUERIES[name](spark, empty_dir).count() == 0

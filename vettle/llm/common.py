@@ -14,12 +14,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: Column, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
-    """`big` joined with `small`, which is broadcast only where a count shows `most` narrow rows at most.
+def sized_join(big: DataFrame, small: DataFrame, on: Column, how: str = "inner", most: int | None = None) -> DataFrame:
+    """`big` joined with `small`, which is broadcast only where a count shows `most` (BROADCAST_ROWS) rows at most: rows
+    of a source, host or partition with a few numbers, some megabytes in all.
 
     Beyond, it is a shuffled join whose hot keys adaptive execution splits. `small` should be cheap to count:
     a written table or what stands on one.
     """
+    most = BROADCAST_ROWS if most is None else most
     few = small.limit(most + 1).count() <= most
     return big.join(F.broadcast(small) if few else small, on, how)
 

@@ -40,7 +40,7 @@ from vettle.llm.graph import components
 K, PERCENT, MISS = 5, 85, 1e-5
 BANDS, ROWS, BATCH = 25, 5, 25
 #: Rows of a part of a bucket; shingles of a part of a cluster, where each text counts for LEAST_WEIGHT at least.
-BLOCK, BLOCK_SHINGLES, LEAST_WEIGHT = 2048, 200_000, 100
+BLOCK, BLOCK_SHINGLES, LEAST_WEIGHT = 512, 200_000, 100
 _RNG = np.random.default_rng(20)
 FACTORS = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 SHIFTS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.slices(batches, most=2 << 20):
+        for b in W.slices(batches):
             offsets, values = shingle_sets(b.column("text"))
             n = np.diff(offsets)
             sums = []
@@ -242,7 +242,7 @@ class Signatures:
 class Texts:
     """Compares full shingle sets: percent * union <= 100 * intersection."""
 
-    def __init__(self, percent: int, most: int = 2 << 20):
+    def __init__(self, percent: int, most: int = W.SLICE_BYTES):
         self.percent, self.most = percent, most
 
     def chunks(self, t: pa.Table, starts: np.ndarray) -> Iterator[tuple[int, int]]:

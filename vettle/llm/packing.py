@@ -43,18 +43,26 @@ class Coder:
         import base64
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.exact = Tokenizer.from_file(vocabulary)
+        self._exact, self._file = None, vocabulary
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.opens = np.zeros(max(table.values()) + 1, dtype=bool)
         for piece, i in table.items():
             self.opens[i] = piece[:1] == b" "
 
+    @property
+    def exact(self):
+        """The library tokenizer, made when a text needs it."""
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self._file)
+        return self._exact
+
     def whole(self, texts: list[str], plain: list[bool]) -> list[np.ndarray]:
-        odd = iter(self.exact.encode_batch([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        odd = iter([] if all(plain) else self.exact.encode_batch([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
         return [np.array(self.fast.encode_ordinary(t) if p else next(odd).ids, dtype=np.int64) for t, p in zip(texts, plain)]
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
