@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import heapq
 import math
+import os
+import resource
 from collections import deque
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,3 +141,12 @@ def write_handle_cache(cache: DataFrame, path: str) -> None:
     """The cache as one JSON document: one row, as large as the cache of one batch's handles."""
     one = cache.select(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.lower("username"), F.struct(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("at"), "repos"))))).alias("value"))
     one.coalesce(1).write.mode("overwrite").text(path)
+
+
+def rss_mb() -> float:
+    """Resident memory of this process in MB: as the kernel tells it, else its peak."""
+    try:
+        pages = int(Path("/proc/self/statm").read_text().split()[1])
+        return pages * os.sysconf("SC_PAGE_SIZE") / 2**20
+    except (OSError, ValueError, IndexError):
+        return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024

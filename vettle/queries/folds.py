@@ -124,10 +124,14 @@ def rl_outbound(spark, sf_dir):
     return out.select("key", "seq", F.round("started", 3).alias("started"), F.round("ended", 3).alias("ended"))
 
 
+def rss_probe(spark, sf_dir):
+    return spark.range(1).select(F.lit("driver").alias("process"), F.lit(service.rss_mb() > 0).alias("measured"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         rl_token_bucket, rl_keyed, rl_keyed_bounded, rl_sliding_window, rl_leaky_bucket, rl_pause_until, http_rate_limit, cache_lru_stackdist, cache_lru_ttl, cache_slru, cache_sharded,
-        agg_cache_stats, metrics_rollup, single_flight, win_first_seen, mem_guard, guard_replay, llm_retry, job_queue, rl_outbound,
+        agg_cache_stats, metrics_rollup, single_flight, win_first_seen, mem_guard, guard_replay, llm_retry, job_queue, rl_outbound, rss_probe,
     )
 }

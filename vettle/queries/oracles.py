@@ -488,6 +488,7 @@ ORACLES: dict[str, str] = {
     "rl_keyed_bounded": f"select split_part(key, '#', 1) as key, seq, allowed, retry_after_s, remaining from ({token(2.0, 0.00001, 86400.0, BOUNDED)})",
     "rl_outbound": OUTBOUND,
     "job_queue": QUEUE,
+    "rss_probe": "select 'driver' as process, true as measured",
     "llm_retry": RETRIED,
     "guard_replay": GUARD,
     "cache_slru": SEGMENTED,
