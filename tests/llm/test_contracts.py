@@ -455,6 +455,23 @@ def test_mix_level_and_cuts(spark):
     assert all(len(c) == 1 for c in by.values())
 
 
+def test_extra_columns_pass_through(spark, odd, odd_rows):
+    """Columns that bear working names stay as they are, with every row and null."""
+    from vettle.llm import langid, surrogates
+
+    docs = odd.withColumnsRenamed({"_h": "_hash", "_size": "_new"})
+    rest = [c for c in docs.columns if c != "text"]
+    want = sorted(map(str, docs.select(rest).collect()))
+    cut, _ = substring.substring_dedup(docs)
+    hidden, name = surrogates.replace_pii(docs, "k")
+    told = langid.identified(docs, langid.train(docs))
+    for df in (cut, hidden, told):
+        assert df.columns[: len(docs.columns)] == docs.columns and sorted(map(str, df.select(rest).collect())) == want
+    texts = {r.doc_id: r.text for r in hidden.collect()}
+    entities = {r.doc_id: r[name["n_entities"]] for r in hidden.collect()}
+    assert texts[0] is None and texts[1] == "" and entities[16] == 1 and "anna.b@x.example.org" not in texts[16] and all(texts[i] == t for i, t, *_ in odd_rows if entities[i] == 0)
+
+
 def test_quality_filter(spark, odd):
     kept = quality.quality_filter(odd)
     assert kept.columns == odd.columns
