@@ -483,14 +483,22 @@ def pieces(t):
     return [m.group() for m in substring.PIECE.finditer(t)] if t else []
 
 
+def run_from(parts, j):
+    """The least run from piece j on with three pieces (or all of a shorter text) and 100 characters; none if the text ends first."""
+    for end in range(j + min(3, len(parts)), len(parts) + 1):
+        if sum(map(len, parts[j:end])) >= 100:
+            return tuple(parts[j:end])
+    return None
+
+
 def test_op1_brute_force(spark, odd_dir, odd_rows):
     for folder, docs in ((SMALL, small(spark)), (odd_dir, documents(odd_rows))):
         first, runs = {}, []
         for i, t in docs:
             p = [x.strip(" \t\n\r\x0b\x0c") for x in pieces(t)]
-            for j in range(max(1, len(p) - 2) if p else 0):
-                key = tuple(p[j : j + 3])
-                if sum(map(len, key)) >= substring.LEAST:
+            for j in range(len(p)):
+                key = run_from(p, j)
+                if key:
                     runs.append((i, j, key))
                     first[key] = min(first.get(key, (i, j)), (i, j))
         gone = {}
@@ -518,9 +526,9 @@ def test_op1_plain_sentences(spark):
         docs.append((i, [x + rng.choice((" ", "\n", "\n\n")) for x in parts]))
     first, gone = {}, {}
     for i, parts in docs:
-        for j in range(max(1, len(parts) - 2)):
-            key = tuple(x.strip() for x in parts[j : j + 3])
-            if sum(map(len, key)) < 100:
+        for j in range(len(parts)):
+            key = run_from([x.strip() for x in parts], j)
+            if not key:
                 continue
             if first.setdefault(key, (i, j)) != (i, j):
                 gone.setdefault(i, set()).update(range(j, j + len(key)))

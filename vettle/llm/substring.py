@@ -3,9 +3,9 @@
 A text is cut into pieces: sentences and lines. Sentences of more than twelve words, and neighbouring ones of under
 `SHORT` characters together, are cut where a word's (or short sentence's) hash is the least within `SHORT` characters on
 both sides, so that equal passages get equal pieces wherever they begin; a piece has `SHORT` characters at least. Where
-no hash leads for `FAR` characters, as in text that repeats itself, cuts follow by length. Every run of `RUN`
-consecutive pieces with `LEAST` characters or more is hashed, so that passages of some twenty words or less, which
-stock phrases and lists share, stay. Hashes are counted over the corpus and their first
+no hash leads for `FAR` characters, as in text that repeats itself, cuts follow by length. From every piece on, the run of
+`RUN` consecutive pieces, or of as many more as give `LEAST` characters, is hashed, so that passages of some twenty words
+or less, which stock phrases and lists share, stay. Hashes are counted over the corpus and their first
 place (least doc_id, then position) is kept; pieces covered by a run that is not its first place are removed. What
 remains of a text is joined as it stood.
 
@@ -38,6 +38,8 @@ from vettle.llm.common import fresh, written
 
 RUN, LEAST, WORDS = 3, 100, 12
 SHORT, FAR = 20, 200
+#: A run is known by its place times this and its pieces: more than a run can have, as LEAST characters bound it.
+WIDEST = 256
 SPACE = " \t\n\r\x0b\x0c"
 #: Leading space, words that end no sentence (an end may have a quote or bracket or two after it) and no line, one more word.
 SENTENCE = re.compile(
@@ -135,8 +137,8 @@ class Pieces:
 PIECE = Pieces()
 
 
-def run_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, hash) of every run in the texts."""
+def run_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, pieces, hash) of every run in the texts: from each piece on, as many as give RUN pieces and LEAST characters."""
     count, size, hash_ = [], [], []
     for t in texts:
         pieces = [p.strip(" \t\n\r\x0b\x0c") for p in PIECE.findall(t)] if t else []
@@ -145,13 +147,17 @@ def run_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
         hash_ += [xxhash.xxh64_intdigest(p) for p in pieces]
     n = np.array(count, dtype=np.int64)
     offsets = np.concatenate([[0], np.cumsum(n)])
-    row, value = W.shingles(offsets, np.array(hash_, dtype=np.uint64), RUN)
-    runs = np.where(n >= RUN, n - RUN + 1, np.minimum(n, 1))
-    place = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs)
     upto = np.concatenate([[0], np.cumsum(np.array(size, dtype=np.int64))])
-    begin = offsets[row] + place
-    long = upto[begin + np.minimum(n[row], RUN)] - upto[begin] >= LEAST
-    return row[long], place[long], value[long]
+    start = np.arange(offsets[-1])
+    row = np.repeat(np.arange(len(n)), n)
+    stop = np.maximum(np.searchsorted(upto, upto[start] + LEAST), start + np.minimum(RUN, n[row]))
+    fits = stop <= offsets[row + 1]
+    start, row, width = start[fits], row[fits], (stop - start)[fits]
+    spread, total = W.mixed(np.array(hash_, dtype=np.uint64)), width.astype(np.uint64) * W.PLACES[63]
+    for j in range(int(width.max(initial=0))):
+        on = j < width
+        total[on] += spread[start[on] + j] * W.PLACES[j % 63]
+    return row, start - offsets[row], width, W.mixed(total)
 
 
 def without(text: str, drop: set[int]) -> str:
@@ -171,12 +177,12 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.slices(batches):
-            row, place, value = run_hashes(b.column("text").to_pylist())
+            row, place, width, value = run_hashes(b.column("text").to_pylist())
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("h").take(take), pa.array(place, pa.int32()), pa.array(value.view(np.int64))], names=["doc_id", "h", "place", "run"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("h").take(take), pa.array(place * WIDEST + width, pa.int64()), pa.array(value.view(np.int64))], names=["doc_id", "h", "place", "run"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    found = written(rows.mapInArrow(runs, f"doc_id {kind}, h long, place int, run long"), "runs")
+    found = written(rows.mapInArrow(runs, f"doc_id {kind}, h long, place long, run long"), "runs")
     where = F.struct("doc_id", "h", "place")
     repeated = found.groupBy("run").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first <> last").select("run", "first")
     repeated = written(repeated, "repeated-runs")  # a plain side, so that adaptive execution can split a hot run's rows
@@ -189,7 +195,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text)
-            texts, places = b.column(at).to_pylist(), [sorted({p + j for p in x for j in range(RUN)}) if x else [] for x in b.column(name["removed"]).to_pylist()]
+            texts, places = b.column(at).to_pylist(), [sorted({p // WIDEST + j for p in x for j in range(p % WIDEST)}) if x else [] for x in b.column(name["removed"]).to_pylist()]
             new, gone_ = [], []
             for t, p in zip(texts, places):
                 drop = set(p)
