@@ -13,6 +13,13 @@ from pyspark.sql.types import DoubleType, StringType
 from vettle import lexicon as L
 from vettle.sources.tables import written
 
+
+
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 STRIP = r"(?U)^\s+|\s+$"
 
 
@@ -149,9 +156,9 @@ def truncated(c: Column, n: int = 12000) -> Column:
 
 def json_object(c: Column) -> Column:
     """From the first brace to the last one, code fences off."""
-    bare = strip(F.regexp_replace(strip(c), r"(?m)^```(?:json)?|```$", ""))
-    start, end = F.instr(bare, "{"), F.length(bare) - F.instr(F.reverse(bare), "}") + 1
-    return F.when((start > 0) & (F.instr(bare, "}") > 0), F.substring(bare, start, end - start + 1))
+    start, end = lambda t: F.instr(t, "{"), lambda t: F.length(t) - F.instr(F.reverse(t), "}") + 1
+    found = lambda t: F.when((start(t) > 0) & (F.instr(t, "}") > 0), F.substring(t, start(t), end(t) - start(t) + 1))
+    return let(strip(F.regexp_replace(strip(c), r"(?m)^```(?:json)?|```$", "")), found)
 
 
 def distinct_capped(c: Column, n: int) -> Column:

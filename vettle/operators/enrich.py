@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vettle import lexicon as L
-from vettle.functions.text import alnum, json_object
+from vettle.functions.text import alnum, json_object, let
 from vettle.settings import Settings
 
 JUDGEMENT = "struct<projects:array<struct<name:string,kind:string,depth:int,evidence:string>>,overall_ai_depth:int,strengths:array<string>,concerns:array<string>,summary:string>"
@@ -70,12 +70,17 @@ def enrich(docs: DataFrame, lookups: DataFrame, repos: DataFrame, now: Column, s
 
 def judgement(json: Column, text: Column) -> Column:
     """The judgement in a model's answer: null unless it fits the schema; projects whose quote isn't in the text are dropped."""
-    j = F.from_json(json_object(json), JUDGEMENT, {"mode": "PERMISSIVE"})
-    projects = F.coalesce(j["projects"], F.array().cast("array<struct<name:string,kind:string,depth:int,evidence:string>>"))
-    fits = j["overall_ai_depth"].between(0, 10) & F.forall(projects, lambda p: p["name"].isNotNull() & p["evidence"].isNotNull() & F.coalesce(p["kind"].isin(*KINDS), F.lit(False)) & F.coalesce(p["depth"].between(0, 10), F.lit(False)))
-    kept = F.filter(projects, lambda p: (F.length(alnum(p["evidence"])) >= 12) & F.contains(alnum(text), alnum(p["evidence"])))
     none = F.array().cast("array<string>")
-    out = F.struct(
-        kept.alias("projects"), j["overall_ai_depth"].alias("overall_ai_depth"), F.coalesce(j["strengths"], none).alias("strengths"), F.coalesce(j["concerns"], none).alias("concerns"), F.coalesce(j["summary"], F.lit("")).alias("summary")
-    )
-    return F.when(F.coalesce(fits, F.lit(False)), out)
+    no_projects = F.array().cast("array<struct<name:string,kind:string,depth:int,evidence:string>>")
+    given = lambda p: p["name"].isNotNull() & p["evidence"].isNotNull() & F.coalesce(p["kind"].isin(*KINDS), F.lit(False)) & F.coalesce(p["depth"].between(0, 10), F.lit(False))
+    quoted = lambda hay: lambda p: let(alnum(p["evidence"]), lambda e: (F.length(e) >= 12) & F.contains(hay, e))
+
+    def checked(j: Column) -> Column:
+        projects = F.coalesce(j["projects"], no_projects)
+        fits = j["overall_ai_depth"].between(0, 10) & F.forall(projects, given)
+        kept = let(alnum(text), lambda hay: F.filter(projects, quoted(hay)))
+        rest = {c: F.coalesce(j[c], none) for c in ("strengths", "concerns")}
+        out = F.struct(kept.alias("projects"), j["overall_ai_depth"].alias("overall_ai_depth"), *(x.alias(c) for c, x in rest.items()), F.coalesce(j["summary"], F.lit("")).alias("summary"))
+        return F.when(F.coalesce(fits, F.lit(False)), out)
+
+    return let(F.from_json(json_object(json), JUDGEMENT, {"mode": "PERMISSIVE"}), checked)

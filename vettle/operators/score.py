@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vettle import lexicon as L
-from vettle.functions.text import clean_title, distinct_capped, trim_ellipsis
+from vettle.functions.text import clean_title, distinct_capped, let, trim_ellipsis
 from vettle.settings import Settings
 
 # Reasons and sentences of the report.
@@ -41,7 +41,8 @@ def best_bullets(text: Column, n: int = 2) -> Column:
     rank = lambda line: sum((F.when(line.rlike(L.java(p)), 1).otherwise(0) for p in patterns), F.lit(0))
     counted = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), lambda x, i: F.struct((-rank(x)).alias("k"), i.alias("i"), x.alias("line")))
     top = F.filter(F.slice(F.array_sort(counted), 1, n), lambda x: x["k"] < 0)
-    return F.when(F.size(top) > 0, F.transform(top, lambda x: trim_ellipsis(x["line"]))).otherwise(F.array(trim_ellipsis(F.get(lines, F.lit(0)))))
+    none = F.array(trim_ellipsis(F.get(lines, F.lit(0))))
+    return let(top, lambda t: F.when(F.size(t) > 0, F.transform(t, lambda x: trim_ellipsis(x["line"]))).otherwise(none))
 
 
 def score_blocks(scanned: DataFrame, sims: DataFrame, s: Settings) -> DataFrame:
@@ -56,11 +57,13 @@ def score_blocks(scanned: DataFrame, sims: DataFrame, s: Settings) -> DataFrame:
 
 
 def best_of(scored: DataFrame) -> DataFrame:
-    """(file_ord, depth, best): the top three blocks' weighted sum and the best block."""
+    """(file_ord, depth, best, bullets): the top three blocks' weighted sum, the best block and its best lines."""
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "block_idx", "title", "text", "clean", "dims", "strong", "llm"))), 1, 3)
     df = scored.groupBy("file_ord").agg(top.alias("top"))
     part = lambda i: -F.coalesce(F.get("top", F.lit(i))["k"], F.lit(0.0))
-    return df.select("file_ord", (part(0) + 0.2 * part(1) + 0.1 * part(2)).alias("depth"), F.get("top", F.lit(0)).alias("best"))
+    best = df.select("file_ord", (part(0) + 0.2 * part(1) + 0.1 * part(2)).alias("depth"), F.get("top", F.lit(0)).alias("best"))
+    # here, below the joins of what follows, the lines are ranked once, however often they are used
+    return best.withColumn("bullets", best_bullets(F.col("best.clean")))
 
 
 def _points(name: str, built: float, claimed: float) -> Column:
@@ -127,7 +130,7 @@ def score_documents(gated: DataFrame, best: DataFrame, scanned: DataFrame, jd: D
             "engineering_depth": F.least(F.lit(w.engineering_depth), F.size("cats").cast("double")),
             "best_title": clean_title(F.col("best.title")),
             "structural": F.size(F.filter(F.coalesce("best.dims", _none()), lambda d: d.isin(*L.STRUCTURAL))),
-            "evidence": F.when(F.col("built_ai"), best_bullets(F.col("best.clean"))).otherwise(_none()),
+            "evidence": F.when(F.col("built_ai"), F.col("bullets")).otherwise(_none()),
         }
     )
     penalty = lambda cond, reason, points: F.when(cond, F.struct(F.lit(reason).alias("reason"), F.lit(points).alias("points")))
@@ -172,7 +175,7 @@ def score_documents(gated: DataFrame, best: DataFrame, scanned: DataFrame, jd: D
             "jd_similarity": F.round(F.coalesce("sim_jd", F.lit(0.0)), 3),
         }
     )
-    return df.drop("depth", "best", "all_text", "py_blocks", "cats", "practices", "built_ai", "best_title", "structural", "sim_jd")
+    return df.drop("depth", "best", "bullets", "all_text", "py_blocks", "cats", "practices", "built_ai", "best_title", "structural", "sim_jd")
 
 
 def blend_judgement(scored: DataFrame, s: Settings) -> DataFrame:

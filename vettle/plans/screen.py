@@ -105,8 +105,9 @@ def screen(raw: DataFrame, s: Settings, lookups: DataFrame | None = None, repos:
         ok = ok.withColumns({"github_status": F.lit("disabled"), "github": F.lit(0.0), "github_summary": F.lit("GitHub enrichment disabled")})
     if judgements is not None:
         answered = judgements.groupBy("file_ord").agg(F.first("json").alias("json"))
-        ok = ok.join(answered, "file_ord", "left").withColumn("judgement", enrich.judgement(F.col("json"), F.col("text")))
-        ok = score.blend_judgement(ok, s).drop("judgement", "json")
+        # below a join, so that an answer is checked once, however often its parts are used
+        judged = df.filter("eligible").select("file_ord", "text").join(answered, "file_ord").select("file_ord", enrich.judgement(F.col("json"), F.col("text")).alias("judgement"))
+        ok = score.blend_judgement(ok.join(judged, "file_ord", "left"), s).drop("judgement")
     else:
         ok = ok.withColumn("llm_status", F.lit("disabled"))
     note = F.when(F.col("github_status") == "no_profile", "No GitHub profile in resume (no score, not penalised beyond 0 GitHub points)").when(
