@@ -252,6 +252,21 @@ def test_title_and_ascii(spark):
     assert sorted(str(r.t) for r in T.by_ascii(odd, "t", T.nfkc).collect()) == ["None", "fine 2", "plain"]
 
 
+def planned(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_weights_have_norm_one(spark):
+    sums = QUERIES["tfidf_weight"](spark, SMALL).groupBy("file_ord", "block_idx").agg(F.sum(F.col("w") * F.col("w")).alias("s"))
+    assert sums.filter("abs(s - 1) > 1e-6").isEmpty() and not sums.isEmpty()
+
+
+@pytest.mark.parametrize("name", ["tfidf_weight", "tfidf_distinctive"])
+def test_counts_are_not_broadcast(spark, name):
+    """The blocks' terms, which grow with the input, are the left side: they stay where they are."""
+    assert "BuildLeft" not in planned(QUERIES[name](spark, SMALL))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_sql(spark, name):
     same(QUERIES[name](spark, SMALL), ORACLES[name], SMALL)
