@@ -267,6 +267,38 @@ def test_counts_are_not_broadcast(spark, name):
     assert "BuildLeft" not in planned(QUERIES[name](spark, SMALL))
 
 
+def test_structure_is_told_by_document(spark):
+    """No window and no sort over lines, whatever the number of documents."""
+    for name in ("gen_blocks", "gen_sections", "win_best_bullets"):
+        plan = planned(QUERIES[name](spark, SMALL))
+        assert "Window" not in plan and "Sort" not in plan and "Aggregate" not in plan
+
+
+def test_hits_parse_once(spark):
+    """Blocks and sections come from one written parse, and both tiers from one table of hits."""
+    assert "MapInArrow" not in (plan := planned(QUERIES["flt_tier"](spark, SMALL))) and "Window" not in plan
+
+
+def test_spared_patterns(spark):
+    """The plain search for needed literals never hides a match."""
+    patterns = [p for _, p, _ in L.SKILLS] + [p for _, p in (*L.DEPTH_DIMS, *L.ENG_DEPTH)] + [L.NOISE, L.AGENT]
+    assert all(L.needed(p) for p in patterns) and L.needed(r"\d+") == () and L.needed("a(?:bc|de)f?") == ("bc", "de")
+    said = ["LangGraph and lang-CHAIN, RAG rag MCP, Cloud Run", "\u017fql\u0130te my\u017fql \u212aafka Red\u0131s", "AI-assisted development", "c++ K8S s3 REACT.JS pgVector", "", "nothing here"]
+    texts = spark.createDataFrame([(x,) for x in [*said, DEEP, THIN, JS_ONLY, ML_ONLY, INLINE]], "t string")
+    both = texts.select(*(F.array(F.col("t").rlike(L.java(p)), T.with_small(F.col("t"), lambda t, s, p=p: T.has(t, s, p))).alias(f"p{i}") for i, p in enumerate(patterns))).collect()
+    assert all(a == b for r in both for a, b in r) and sum(a for r in both for a, _ in r) > 40
+
+
+def test_odd_structure():
+    """Line ends, marks and signs that Unicode counts otherwise than Python does."""
+    assert parse.heading(" :Key Projects:\u2003") == "projects" and parse.heading("Education & Training") == "education" and parse.heading("Education & training") is None
+    assert not parse.continuation("x", "In 2023\u00b2") and parse.continuation("x", "In 2023\u0301") and not parse.continuation("x", "Pre\u017fent") and parse.continuation("end.", "élan") and not parse.continuation("end.", "Up")
+    sections, blocks = parse.structure_of("A B\nProjects\nOne\n- b\nEducation\nx\nPROJECTS:\nTwo\n\u2022 c\nand on")
+    assert [(s["section"], s["section_pos"], s["body"]) for s in sections] == [("header", 0, "A B"), ("projects", 1, "One\n- b\nTwo\n\u2022 c\nand on"), ("education", 4, "x")]
+    assert [(b["title"], b["bullets"]) for b in blocks] == [("One", ["b Two", "c and on"])]
+    assert parse.structure_of(None) == ([], []) and parse.structure_of("") == ([], [])
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_sql(spark, name):
     same(QUERIES[name](spark, SMALL), ORACLES[name], SMALL)
