@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from vettle import lexicon as L
 from vettle.functions import text as T
 from vettle.operators import dedup, enrich, parse, rank, score
-from vettle.plans.screen import parsed, screen
+from vettle.plans.screen import dealt, parsed, scored, screen
 from vettle.queries import ORACLES, QUERIES
 from vettle.settings import Settings, load, overridden
 from vettle.sources import files, sinks
+from vettle.sources.tables import DEALT, tasks
 
 SMALL = "/root/testdata/sf0.001"
 HEAD = "{name}\n{mail} | github.com/{user}\n"
@@ -279,6 +280,33 @@ def test_hits_parse_once(spark):
     assert "MapInArrow" not in (plan := planned(QUERIES["flt_tier"](spark, SMALL))) and "Window" not in plan
 
 
+def test_documents_stay_in_their_row(spark):
+    """Skills and the gate move and group nothing; documents meet their similarities by a hash of these, never sorted."""
+    for name in ("agg_hits", "gate"):
+        plan = planned(QUERIES[name](spark, SMALL))
+        assert "Aggregate" not in plan and "Join" not in plan
+    for name in ("score_block", "pen_all", "explain", "score_categories"):
+        plan = planned(QUERIES[name](spark, SMALL))
+        assert plan.count("ShuffledHashJoin") == 1 and "BuildRight" in plan and "SortMergeJoin" not in plan
+
+
+def test_tasks_grow_with_rows(spark):
+    n = spark.sparkContext.defaultParallelism
+    assert tasks(spark, 0) == tasks(spark, DEALT) == n and tasks(spark, 100 * n * DEALT) == 100 * n
+    docs = spark.range(3).select(F.col("id").alias("file_ord"))
+    assert dealt(docs).rdd.getNumPartitions() == n and dealt(docs, 2 * n * DEALT).rdd.getNumPartitions() == 2 * n
+
+
+def test_odd_documents_in_a_row(spark):
+    """No text, an empty one, links that are null, claims alone: each document has its row."""
+    rows = [(1, "a", None, None), (2, "b", "", []), (3, "c", "Projects\nnone\nSkills\nPython, RAG", [None, "https://github.com/x"]), (4, "d", "Projects\nP\n- RAG agent in Python\n- RAG", [])]
+    docs = spark.createDataFrame(rows, "file_ord long, file string, text string, links array<string>")
+    got = {r.file_ord: r for r in scored(dealt(docs), Settings(stop_words=STOP)).collect()}
+    assert [got[i].ai_level for i in (1, 2, 3, 4)] == ["none", "none", "skills_only", "implemented"] and got[3].github_username == "x"
+    assert got[3].hits["RAG"].in_claims and got[3].hits["RAG"].blocks == []
+    assert got[4].hits["Agents"].blocks == [0] and not got[4].hits["RAG"].in_claims and got[1].candidate_name == "a" and not got[2].eligible
+
+
 def test_spared_patterns(spark):
     """The plain search for needed literals never hides a match."""
     patterns = [p for _, p, _ in L.SKILLS] + [p for _, p in (*L.DEPTH_DIMS, *L.ENG_DEPTH)] + [L.NOISE, L.AGENT]
