@@ -9,10 +9,12 @@ from compare import same
 from pyspark.sql import functions as F
 
 from vettle import lexicon as L
+from vettle.functions import find
 from vettle.functions import text as T
-from vettle.operators import dedup, enrich, parse, rank, score
+from vettle.operators import dedup, enrich, parse, rank, scan, score
 from vettle.plans.screen import dealt, parsed, scored, screen
 from vettle.queries import ORACLES, QUERIES
+from vettle.queries.screening import resumes
 from vettle.settings import Settings, load, overridden
 from vettle.sources import files, sinks
 from vettle.sources.tables import DEALT, tasks
@@ -327,6 +329,53 @@ def test_odd_structure():
     assert parse.structure_of(None) == ([], []) and parse.structure_of("") == ([], [])
 
 
+def test_found_as_java(spark):
+    """Walks in Python find, blank and cut what Java's patterns do, whatever signs and letters stand around."""
+    patterns = {str(i): p for i, p in enumerate([*(p for _, p, _ in L.SKILLS), *(p for _, p in (*L.DEPTH_DIMS, *L.ENG_DEPTH)), L.AGENT, L.BACKEND, L.ASYNC, L.DEPLOY, L.TUTORIAL, L.OWNERSHIP])}
+    assert all(L.begins(p) for p in (*patterns.values(), L.NOISE)) and L.begins(r"\d+a") == () and L.begins(r"\b(?:ab|cd)e?") == ("ab", "cd")
+    words = sorted({x for p in patterns.values() for x in (*L.needed(p), *L.begins(p))} | {"RAG", "rag", "ADK", "SQL", "MCP", "CNN", "AI-assisted work", "LLM assisted\u2003code\u00a0now", "copilot", "agents", "my\u017fql", "\u212aafka", "Red\u0131s", "re\u015ft", "restful", "calling", "tools"})
+    signs = ["", " ", " ", " ", "-", "\n", "_", ".", "\u2022", "\u00e9", "\u0301", "\u200d", "\u2160", "\u24d0", "\u00b2", "\u203f", "\u0663", "\U0001f600", "\u00a0", "\u0085", "\x1f", "\U0001d400"]
+    r = random.Random(5)
+    texts = ["", *("".join(r.choice((str, str.upper, str.title))(r.choice(words)) + r.choice(signs) + r.choice(signs) for _ in range(r.randrange(1, 9))) for _ in range(600)), DEEP, THIN, INLINE]
+    c = F.col("t")
+    java = [F.array(*(c.rlike(L.java(p)) for p in patterns.values())), T.clean(c), T.trim_ellipsis(F.repeat(c, 5)), F.regexp_extract_all(c, F.lit(L.java(L.BACKEND)), F.lit(0))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", *(x.alias(f"c{i}") for i, x in enumerate(java))).collect()
+    search, some = find.Searches(patterns), 0
+    for i, found, clean, cut, backend in rows:
+        text, plain = texts[i], find.plain(texts[i])
+        places = search.places(plain, plain.lower())
+        assert [k in places for k in patterns] == found, text
+        assert (find.clean(text), find.trim_ellipsis(text * 5)) == (clean, cut)
+        assert [text[a:b] for a, b in search.spans(str(list(patterns.values()).index(L.BACKEND)), plain, places)] == backend
+        some += sum(found)
+    assert len(rows) == len(texts) and some > 1000
+
+
+def test_blocks_of_a_walk():
+    """Each block and line has its own matches, with the copilot blanked; the best lines by signals."""
+    text = "A B\nProjects\nOne\n- plain\n- RAG agents with tool calling\n- RAG\n- github copilot.\nTwo\n- Python\u00e9 agents\n- Redis cache\nSkills\nRAG, Docker"
+    sections, blocks, ai, hits, cats, practices, concurrent, deploys = scan.scanned_of(text)
+    assert [[x["name"] for x in b["found"]] for b in blocks] == [["RAG", "Tool Calling", "Agents"], ["Redis"]]
+    assert blocks[0]["best"] == ["RAG agents with tool calling", "RAG"] and blocks[1]["best"] == ["Redis cache"] and "copilot" not in blocks[0]["clean"]
+    assert [(x["block_idx"], x["dims"], x["strong"], x["tutorial"]) for x in ai] == [(0, ["tools"], ["Agents", "RAG", "Tool Calling"], True)]
+    assert [(h["name"], h["blocks"], h["in_claims"]) for h in hits] == [("RAG", [0], True), ("Tool Calling", [0], False), ("Agents", [0], False), ("Redis", [1], False), ("Docker", [], True)]
+    assert (cats, practices, concurrent, deploys) == (["caching"], 0, False, False)
+    assert scan.scanned_of(None)[1:5] == ([], [], [], []) and scan.scanned_of("")[5:] == (0, False, False)
+
+
+def test_lexicon_is_walked_once(spark):
+    """No pattern of the lexicon is tried apart from the walk over a document; texts are made in every task."""
+    assert "RLIKE" not in planned(QUERIES["agg_hits"](spark, SMALL)) and "RLIKE" not in planned(QUERIES["win_best_bullets"](spark, SMALL))
+    assert resumes(spark, SMALL).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_ranks_are_told_when_asked_for(spark, monkeypatch):
+    """The best few, the counts and the lines need no order of all rows."""
+    monkeypatch.setattr(rank, "numbered", lambda *_: pytest.fail("all rows are ordered"))
+    for name in ("limit_top", "agg_summary", "sink_terminal"):
+        assert not QUERIES[name](spark, SMALL).isEmpty()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_sql(spark, name):
     same(QUERIES[name](spark, SMALL), ORACLES[name], SMALL)
