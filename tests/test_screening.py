@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import zipfile
 
 import pytest
@@ -369,6 +370,13 @@ def test_lexicon_is_walked_once(spark):
     assert resumes(spark, SMALL).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_sums_stay_with_their_documents(spark):
+    """A task's sums are those of the documents dealt to it, a bounded number, and don't move again."""
+    for name in ("tfidf_jd", "tfidf_cosine", "score_block"):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and not re.search(r"hashpartitioning\(file_ord#\d+L?, block_idx", plan)
+
+
 def test_ranks_are_told_when_asked_for(spark, monkeypatch):
     """The best few, the counts and the lines need no order of all rows."""
     monkeypatch.setattr(rank, "numbered", lambda *_: pytest.fail("all rows are ordered"))
